@@ -36,7 +36,7 @@ class Rules:
         default_factory=lambda: {
             "symbol_rate": (0.1, None),
             "repeat_rate": (0.25, None),
-            "dup_line_rate": (0.25, None),
+            "dup_line_rate": (0.4, None),
             "capital_rate": (0.15, None),
             "mean_chars": (1.5, 1.5),
         }
