@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import license_scan, line_dedup, quality_rules
 
 QUERIES = {
+    "op3_license_scan": license_scan.op3_license_scan,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 ORACLES = {
+    "op3_license_scan": license_scan.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
