@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, quality_rules
+from . import license_scan, line_dedup, mixing, quality_rules, toxicity
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_license_scan": license_scan.op3_license_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
+    "op2_mixing": mixing.ORACLE,
     "op3_license_scan": license_scan.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
