@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, mixing, quality_rules, toxicity
+from . import license_scan, line_dedup, mixing, quality_rules, sentencepiece_codec, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_mixing": mixing.op2_mixing,
     "op3_license_scan": license_scan.op3_license_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
