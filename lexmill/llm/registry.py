@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, mixing, quality_rules, sentencepiece_codec, toxicity
+from . import license_scan, line_dedup, minhash_dedup, mixing, quality_rules, sentencepiece_codec, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
