@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import empty_text, flat, pieces, table
 
@@ -269,7 +270,7 @@ def load(path: str = DEFAULT_MODEL) -> Codec:
 def encode(docs: DataFrame, codec: Codec) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``ids``."""
     names = [c for c in docs.columns if c not in ("n_tokens", "ids")]
-    schema = docs.select(*names).schema.add("n_tokens", "long").add("ids", "array<int>")
+    schema = docs.select(*names).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType()))
     shared = docs.sparkSession.sparkContext.broadcast(codec)  # some MB: bounded by the model file
 
     def run(batches):
