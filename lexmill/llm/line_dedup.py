@@ -48,14 +48,15 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     win = scratch.write(_windows(docs))
     place = F.struct("doc_id", "_h", "w")
     first = win.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    later = win.join(first.drop("n"), ["h1", "h2"]).filter(place > F.col("first"))
+    # merged at every size, as neither side has a bound; Spark splits the partitions of hot windows
+    later = win.join(first.drop("n").hint("merge"), ["h1", "h2"]).filter(place > F.col("first"))
     return later.select("doc_id", "_h", F.explode("p").alias("p")).groupBy("doc_id", "_h").agg(F.collect_set("p").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with cleaned ``text``, and ``n_lines`` and ``n_removed`` beside its columns."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = scratch.write(covered(docs, scratch)).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "gone")
+    gone = scratch.write(covered(docs, scratch)).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "gone").hint("merge")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     d = docs.select(*names).withColumn("text", empty_text()).withColumn("_h", F.xxhash64("text"))
     d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")

@@ -23,7 +23,6 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,28 +90,44 @@ def _sketch(words: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def mine(sample: pd.DataFrame, s: Setting) -> list[tuple[int, str]]:
-    """(kind, item) of the sample's items by decreasing rows: kind 0 is a word, n a beginning of n characters."""
-    if not len(sample) or not sample.toxic.any():
+def mine(texts: pa.Array, toxic: np.ndarray, s: Setting, block: int = 500) -> list[tuple[int, str]]:
+    """(kind, item) by decreasing rows: kind 0 is a word, n a beginning of n characters.
+
+    Candidates come from the toxic rows; the other rows then go by in blocks and are only asked for these.
+    """
+    if not toxic.any():
         return []
-    texts = pa.array(sample.text, pa.string())
-    toxic = sample.toxic.to_numpy() == 1
+    marks = []
+    for i in range(0, len(texts), block):
+        _, h, rows, _ = next(items_of(texts.slice(i, block), ()))
+        marks.append(_sketch(h, rows, len(texts.slice(i, block))))
+    group = np.unique(np.concatenate(marks), return_inverse=True)[1]
+    own = np.flatnonzero(toxic)
+    foul = np.unique(group[own])  # a group with a toxic row counts as toxic
     share = max(toxic.mean(), 1e-6)
-    found, group = [], None
-    for kind, h, rows, (buf, a, z) in items_of(texts, s.prefixes):
-        if group is None:  # words come first
-            group = np.unique(_sketch(h, rows, len(sample)), return_inverse=True)[1]
+    cand: dict[int, tuple[np.ndarray, np.ndarray, list[str], int]] = {}
+    for kind, h, rows, (buf, a, z) in items_of(texts.take(pa.array(own)), s.prefixes):
         u, at, code = np.unique(h, return_index=True, return_inverse=True)
-        pairs = np.unique(code.astype(np.int64) * (group.max() + 1) + group[rows]) if len(u) else np.zeros(0, np.int64)
-        tox = np.zeros(group.max() + 1, bool)
-        np.logical_or.at(tox, group, toxic)
-        item, g = pairs // (group.max() + 1), pairs % (group.max() + 1)
-        up = np.bincount(item[tox[g]], minlength=len(u))
-        down = np.bincount(item[~tox[g]], minlength=len(u))
-        # a lower bound: as if a row more were clean; and more rows than chance gives at the share of toxic rows
-        ok = (up >= s.least_rows) & (up / (up + down + 0.1) >= s.purity) & (up * np.log(1 / share) > np.log(max(len(u), 2)) + 3)
-        for i in np.flatnonzero(ok):
-            found.append((int(up[i]), kind, bytes(buf[a[at[i]] : z[at[i]]]).decode("utf-8", "replace")))
+        pairs = np.unique(np.stack([code, group[own][rows]]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
+        up = np.bincount(pairs[0], minlength=len(u))
+        ok = np.flatnonzero(up >= s.least_rows)
+        cand[kind] = u[ok], up[ok], [bytes(buf[a[at[i]] : z[at[i]]]).decode("utf-8", "replace") for i in ok], len(u)
+    seen = {k: [np.zeros((2, 0), np.int64)] for k in cand}
+    clean = np.flatnonzero(~toxic & ~np.isin(group, foul))
+    for i in range(0, len(clean), block):
+        part = clean[i : i + block]
+        for kind, h, rows, _ in items_of(texts.take(pa.array(part)), s.prefixes):
+            u = cand[kind][0]
+            if len(u):
+                at = np.minimum(np.searchsorted(u, h), len(u) - 1)
+                ok = u[at] == h
+                seen[kind].append(np.unique(np.stack([at[ok], group[part][rows[ok]]]), axis=1))
+    found = []
+    for kind, (u, up, shown, total) in cand.items():
+        down = np.bincount(np.unique(np.concatenate(seen[kind], axis=1), axis=1)[0], minlength=len(u))
+        # and more rows than chance gives at the share of toxic rows
+        ok = (up / (up + down + 0.1) >= s.purity) & (up * np.log(1 / share) > np.log(max(total, 2)) + 3)
+        found += [(int(up[i]), kind, shown[i]) for i in np.flatnonzero(ok)]
     found.sort(key=lambda x: (-x[0], x[1] != 0, -x[1], x[2]))
     return [(k, t) for _, k, t in found[: s.most_items]]
 
@@ -252,8 +267,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Setting = Setting()) -> Model:
     sample = text.join(F.broadcast(own), "doc_id")  # at most sample_rows rows of two numbers
 
     found = sample.limit(2 * s.sample_rows)  # ids may repeat in docs
-    frame = found.toArrow().to_pandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
-    items = mine(frame, s)
+    frame = found.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts, toxic = frame["text"].combine_chunks(), frame["toxic"].to_numpy() == 1
+    items = mine(texts, toxic, s)
     if not items:
         return Model([], np.zeros(0), -40.0, None, s)
     voter, match = voters_of(items, s), _matcher(items, s)
@@ -268,8 +284,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Setting = Setting()) -> Model:
     seen = training.mapInArrow(count, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).toPandas()
     seen = seen.sort_values("votes")
     model = fit_labels(seen.votes.to_numpy(), seen.n.to_numpy().astype(float), s.lexicons + s.patterns, s)
-    rows, hits = match(pa.array(frame.text, pa.string()))
-    y = model.posterior(_votes(rows, hits, len(frame), voter))
+    met = [np.zeros((2, 0), np.int64)]
+    for i in range(0, len(texts), 500):
+        rows, hits = match(texts.slice(i, 500))
+        met.append(np.stack([rows + i, hits]))
+    rows, hits = np.concatenate(met, axis=1)
+    y = model.posterior(_votes(rows, hits, len(texts), voter))
     w, b = fit_linear(hits, rows, y, len(items), s)
     return Model(items, w, b, model, s)
 
