@@ -32,6 +32,8 @@ from .common import empty_text, flat, pieces, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Bytes of text, and units, that are worked on at once.
+PIECE, UNITS = 3 << 20, 20_000
 DEFAULT_MODEL = os.environ.get("LEXMILL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -172,8 +174,8 @@ class Codec:
         enc = arr.dictionary_encode()
         ubuf, uoff = flat(enc.dictionary)
         parts, counts_ = [np.zeros(0, np.int32)], []
-        for i in range(0, len(uoff) - 1, 50_000):  # bounds the memory for edges
-            o = uoff[i : i + 50_001]
+        for i in range(0, len(uoff) - 1, UNITS):  # bounds the memory for edges
+            o = uoff[i : i + UNITS + 1]
             got, off = self.segment(ubuf[o[0] : o[-1]], o - o[0])
             parts.append(got)
             counts_.append(np.diff(off))
@@ -274,7 +276,7 @@ def encode(docs: DataFrame, codec: Codec) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(codec)  # some MB: bounded by the model file
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, PIECE):
             ids, off = shared.value.encode(b.column(b.schema.get_field_index("text")))
             got = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(off)), got], names=[*names, "n_tokens", "ids"])
@@ -289,7 +291,7 @@ def decode(coded: DataFrame, codec: Codec) -> DataFrame:
     shared = coded.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, PIECE):
             col = b.column(b.schema.get_field_index("ids"))
             off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))])
             ids = pc.list_flatten(col).to_numpy(zero_copy_only=False)
@@ -298,8 +300,21 @@ def decode(coded: DataFrame, codec: Codec) -> DataFrame:
     return coded.select(*names).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids`` and ``decoded`` in one pass, which needs one Python worker a task, not two."""
+    names = [c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
+    schema = docs.select(*names).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    shared = docs.sparkSession.sparkContext.broadcast(codec)
+
+    def run(batches):
+        for b in pieces(batches, PIECE):
+            ids, off = shared.value.encode(b.column(b.schema.get_field_index("text")))
+            got = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(off)), got, shared.value.decode(ids, off)], names=[*names, "n_tokens", "ids", "decoded"])
+
+    return docs.select(*names).mapInArrow(run, schema)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model: str = DEFAULT_MODEL) -> DataFrame:
-    codec = load(model)
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", empty_text().alias("text")), codec)
-    out = decode(coded, codec)
+    out = round_trip(table(spark, sf_dir, "documents").select("doc_id", empty_text().alias("text")), load(model))
     return out.select("doc_id", "n_tokens", "ids", "decoded", (F.col("decoded") == F.col("text")).alias("round_trip"))
