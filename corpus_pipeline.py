@@ -43,8 +43,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     codec = sentencepiece_codec.load()
-    coded = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", empty_text().alias("text")), codec)
-    out = sentencepiece_codec.decode(coded, codec)
+    out = sentencepiece_codec.round_trip(docs.select("doc_id", "lang", "source", empty_text().alias("text")), codec)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
