@@ -10,9 +10,10 @@ Documents with equal sets form one class, named by 128 bits of hash, and everyth
    goes as soon as the posterior chance of the wanted similarity falls under ``miss``.
 4. Survivors are verified exactly on the full sets, made anew from the texts.
 5. Links make components (least label with pointer jumping, tables in the shared folder).
-6. Buckets that still hold different components are compared in full, block by block of about 256 classes, so that a large
-   group is never in one task and pairs never become rows; only pairs of different components that
-   survive the pruning are verified, and the components are made again. So no candidate pair goes untested.
+6. Buckets that still hold several components take ``turns`` more stars around other classes, which joins
+   what belongs together at a cost linear in the bucket. What is still apart then is compared in full, block
+   by block of about 256 classes, so that a large group is never in one task; only pairs of different components
+   that survive the pruning become rows and are verified. So no candidate pair goes untested.
 
 Nulls and empty texts have empty sets and are linked with nothing. Rows that repeat a doc_id share its
 component; the component's id is the least doc_id in it. An empty table gives an empty result; other
@@ -43,6 +44,7 @@ class Setting:
     batch: int = 24
     miss: float = 1e-6
     block: int = 256
+    turns: int = 3
     seed: int = 7
 
 
@@ -155,8 +157,8 @@ def _prune(pairs: DataFrame, classes: DataFrame, s: Setting) -> DataFrame:
     """Of the pairs (a, b) of classes those that survive."""
     width = s.bands * s.rows
     c = classes.select("sid", "n", "sig")
-    j = pairs.join(c.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")).hint("merge"), "b")
-    j = j.join(c.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")).hint("merge"), "a")
+    j = pairs.join(c.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+    j = j.join(c.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
     j = j.filter(F.lit(100) * F.least("na", "nb") >= F.lit(s.least) * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
 
     def run(batches):
@@ -168,16 +170,19 @@ def _prune(pairs: DataFrame, classes: DataFrame, s: Setting) -> DataFrame:
     return j.mapInArrow(run, "a binary, b binary")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, s: Setting, scratch: Scratch) -> DataFrame:
-    """Of the pairs those whose full sets are similar enough."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+def _texts(classes: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """One text of each of ``classes``: sid, text."""
     one = sets.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    one = one.join(need.hint("merge"), "sid").select(F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th"), "sid")
+    one = one.join(classes.select("sid").hint("merge"), "sid").select(F.col("r.doc_id").alias("_id"), F.col("r.th").alias("_th"), "sid")
     d = docs.select("doc_id", empty_text().alias("text")).withColumn("th", F.xxhash64("text"))
     d = d.join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    texts = scratch.write(d.groupBy("sid").agg(F.first("text").alias("text")))
-    j = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-    j = j.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").select("a", "b", "ta", "tb")
+    return d.groupBy("sid").agg(F.first("text").alias("text"))  # ids and texts may repeat in docs
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, s: Setting) -> DataFrame:
+    """Of the pairs those whose full sets are similar enough."""
+    j = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
+    j = j.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     least = s.least
 
     def run(batches):
@@ -190,7 +195,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, s: Setting, scra
                     keep.append(i)
             yield t.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return scratch.write(j.mapInArrow(run, "a binary, b binary"))
+    return j.mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -213,14 +218,24 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, s: Setting) -> DataFrame:
-    """Surviving pairs of different components within the buckets that hold several."""
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, sid, label, m): the members of buckets of three or more that hold several components."""
+    m = members.select("key", "sid").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2")
+    return m.join(mixed.select("key", "m"), "key")
+
+
+def _again(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a new first class of each bucket, by a hash of this turn, with the members of other components."""
+    lead = mixed.groupBy("key").agg(F.min_by(F.struct(F.col("sid").alias("a"), F.col("label").alias("la")), F.xxhash64("sid", F.lit(turn))).alias("l"))
+    j = mixed.join(lead, "key").filter(F.col("label") != F.col("l.la"))
+    return j.select(F.col("l.a").alias("a"), F.col("sid").alias("b")).distinct()
+
+
+def _across(m: DataFrame, classes: DataFrame, s: Setting) -> DataFrame:
+    """Surviving pairs of different components within the buckets of ``m`` (the result of _mixed)."""
     width = s.bands * s.rows
-    lab = labels.select(F.col("node").alias("sid"), "label")
-    m = members.join(lab.hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
-    m = m.join(mixed.select("key", "m").hint("merge"), "key")
-    m = m.join(classes.select("sid", "n", "sig").hint("merge"), "sid")
+    m = m.join(classes.select("sid", "n", "sig"), "sid")
     block = F.pmod(F.xxhash64("sid", F.lit(s.seed)), F.ceil(F.col("m") / F.lit(s.block)))
     packed = F.concat("sid", "label", F.unhex(F.lpad(F.hex("n"), 16, "0")), "sig")
     # a salt keeps what one task collects to a block; the blocks of a bucket meet in pairs
@@ -260,12 +275,20 @@ def near_duplicates(docs: DataFrame, s: Setting = Setting()) -> DataFrame:
     members = scratch.write(keyed.join(shared.hint("merge"), "key").groupBy("key", "lead", "sid").agg(F.lit(1).alias("_")).drop("_"))
     stars = members.filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     classes = scratch.write(classes.join(members.select("sid").distinct().hint("merge"), "sid", "left_semi"))
-    links = _verify(scratch.write(_prune(stars, classes, s)), docs, sets, s, scratch)
+    texts = scratch.write(_texts(classes, docs, sets))
+    links = scratch.write(_verify(_prune(stars, classes, s), texts, s))
     labels = components(links, scratch)
-    more = scratch.write(_across(members.select("key", "sid"), labels, classes, s))
-    if more.limit(1).count():
-        links = links.unionByName(_verify(more, docs, sets, s, scratch))
+    left = scratch.write(_mixed(members, labels))
+    for turn in range(s.turns):
+        if not left.limit(1).count():
+            break
+        new = scratch.write(_verify(_prune(_again(left, turn), classes, s), texts, s))
+        links = links.unionByName(new)
         labels = components(links, scratch)
+        left = scratch.write(_mixed(left, labels))
+    more = scratch.write(_verify(_across(left, classes, s), texts, s))
+    if more.limit(1).count():
+        labels = components(links.unionByName(more), scratch)
     least = full.groupBy("sid").agg(F.min("doc_id").alias("d"))
     least = least.join(labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     by = least.groupBy("label").agg(F.min("d").alias("component_id"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, minhash_dedup, mixing, ppm_lm, quality_rules, sentencepiece_codec, toxicity
+from . import license_scan, line_dedup, minhash_dedup, mixing, ppm_lm, quality_rules, sentencepiece_codec, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_mixing": mixing.op2_mixing,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_ppm_lm": ppm_lm.op7_ppm_lm,
     "op8_quality_rules": quality_rules.op8_quality_rules,
