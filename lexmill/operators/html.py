@@ -248,6 +248,7 @@ def _published(root: Node, page: str, today: dt.date) -> dt.datetime | None:
 
 def article(url: str, page: str, site: Site, comments: int | None = None, title: str = "") -> dict:
     """The article of a page; ``title`` is what is known of it from the link."""
+    page = page or ""
     root = parse(page)
     h1 = root.one("h1")
     if not title:
