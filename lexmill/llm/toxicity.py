@@ -38,7 +38,7 @@ class Setting:
     lexicons: int = 6
     patterns: int = 6
     least_rows: int = 6
-    purity: float = 0.8
+    purity: float = 0.95
     most_items: int = 400
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
     rounds: int = 200
@@ -160,7 +160,8 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         log = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
         for st, t in zip(self._states(votes), self.tables, strict=True):
-            log += np.log(t[1, st]) - np.log(t[0, st])
+            # a voter without a hit abstains: it speaks only where all are silent
+            log += np.where((st > 0) | (votes == 0), np.log(t[1, st]) - np.log(t[0, st]), 0)
         return 1 / (1 + np.exp(-np.clip(log, -50, 50)))
 
     def fit(self, votes: np.ndarray, n: np.ndarray, rounds: int) -> "LabelModel":
