@@ -71,7 +71,7 @@ def _blocks(docs: DataFrame, held: Column) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    d = docs.select("doc_id", empty_text().alias("text"), held.alias("held"))
+    d = docs.select("doc_id", empty_text().alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     return d.mapInArrow(run, f"block binary, toks array<binary>, train array<long>, doc_id array<{kind}>, held array<boolean>, n array<long>, codes binary, large binary")
 
 
