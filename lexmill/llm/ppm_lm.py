@@ -1,17 +1,16 @@
 """Scoring texts with prediction by partial matching (operator 7).
 
-A text is its words, with A-Z lowered, and an end. The model is a trie of byte contexts of up to
-``order`` bytes that reach back to the space before the word, so a word's chance doesn't depend on its
-neighbours and is worked out once for each distinct word, not for each occurrence. The longest context is
-the whole word, whose counts are blended with the trie by the same escape estimate. The trie is trained
-with update exclusion: a word counts once in it, as the word itself predicts its repetitions. Method C estimates escapes (a context of T occurrences and q distinct successors gives
-n / (T + q) and escapes with q / (T + q)), and what a longer context could have coded is excluded from the
-shorter ones. A context is kept if it makes up at least 1 / ``contexts`` of the training symbols, so
-each order has at most that many, however large the corpus; a successor is kept from an eighth of
-that, and what is rarer adds to the escape. All counts are exact and cover all training rows.
-
-Texts are coded by block of about 8 MB as numbers of the block's distinct words. Words, not texts, meet the
-vocabulary: each block asks once for each of its words, and the answers come back to the block.
+A text is one stream of bytes: its words, with A-Z lowered, a space after each, and a line feed as its end.
+Every byte is coded from the ``order`` bytes before it, across words; before the first byte stand line feeds.
+Method C estimates escapes (a context of T occurrences and q distinct successors gives n / (T + q) and
+escapes with q / (T + q)), and what a longer context could have coded is excluded from the shorter ones.
+Counts are of all occurrences in all training rows, exact; no context or successor is dropped.
+
+A byte's chance depends on it and the ``order`` bytes before it alone, a gram. Blocks of about 4 MB of text
+send their distinct grams, packed, to shards by the last three bytes of the context, so a shard has all
+contexts of three bytes and more that its grams need; the shorter ones (bounded by the alphabet) are shared.
+Each shard counts, then answers the blocks, which look their grams' chances up. The number of shards grows
+with the grams. Base scores are of words: each block asks once for each of its words.
 
 Nulls and empty texts hold the end alone. Null ids count as the empty text in the split. Rows alike
 get the same scores. Without training rows every byte is equally likely. Other columns are ignored.
@@ -33,16 +32,17 @@ from .common import LOWER, M1, Scratch, crc_mod, empty_text, flat, mix, pieces,
 
 @dataclass(frozen=True)
 class Setting:
-    order: int = 6
-    contexts: int = 1 << 16
+    order: int = 6  # at most 7: a gram is one number of 64 bits
+    contexts: int = 1 << 22  # grams sent to one shard, about; none is dropped
     types_a_task: int = 400_000
+    block: int = 4 << 20
 
 
-def _blocks(docs: DataFrame, held: Column) -> DataFrame:
+def _blocks(docs: DataFrame, held: Column, size_of_block: int = Setting.block) -> DataFrame:
     """A row per block: its distinct words with training counts, its rows, and the words' numbers in order."""
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, size_of_block):
             buf, offsets = flat(b.column(1))
             buf = LOWER[buf]
             s, e, rows = word_bounds(buf, offsets)
@@ -75,42 +75,41 @@ def _blocks(docs: DataFrame, held: Column) -> DataFrame:
     return d.mapInArrow(run, f"block binary, toks array<binary>, train array<long>, doc_id array<{kind}>, held array<boolean>, n array<long>, codes binary, large binary")
 
 
-# --- the trie ------------------------------------------------------------------------------------
+# --- grams and their chances ---------------------------------------------------------------------
 
+U8 = np.uint64(8)
+LOW = 2  #: contexts of so many bytes or fewer are shared by all shards
 
-class Units:
-    """Words as space, bytes, space in one buffer; the end is space, line feed. Symbols are all but the first bytes."""
 
-    def __init__(self, words: pa.Array, order: int):
-        buf, off = flat(words)
-        n = len(off) - 1
-        size = np.diff(off)
-        end = np.zeros(n, bool)
-        lone = np.flatnonzero(size == 1)
-        end[lone] = buf[off[lone]] == 10
-        width = size + 2 - end
-        at = np.concatenate([[0], np.cumsum(width)])
-        stream = np.full(at[-1], 32, np.uint8)
-        owner = np.repeat(np.arange(n), size)
-        stream[at[owner] + 1 + np.arange(len(buf)) - off[owner]] = buf
-        self.stream, self.order = stream.astype(np.uint64), order
-        unit = np.repeat(np.arange(n), width)
-        place = np.arange(at[-1]) - at[unit]
-        self.pos = np.flatnonzero(place > 0)
-        self.unit, self.reach = unit[self.pos], place[self.pos]
-        self.symbol = stream[self.pos].astype(np.int64)
+def _mask(k: int) -> np.uint64:
+    return np.uint64((1 << 8 * (k + 1)) - 1)
 
-    def hashes(self):
-        """For each order from 0, the hash of every symbol's context, where it reaches that far."""
-        h = np.full(len(self.pos), np.uint64(88172645463325252))
-        yield 0, h.copy()
-        for k in range(1, self.order + 1):
-            h = mix((h ^ (self.stream[np.maximum(self.pos - k, 0)] + np.uint64(1))) * M1 + np.uint64(k))
-            yield k, h.copy()
 
+def grams(words: pa.Array, code: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of each byte of the texts, ``order`` bytes and it, and the text's number; ``n``: words a text."""
+    buf, off = flat(words.take(pa.array(code)))
+    size = np.diff(off)
+    row = np.repeat(np.arange(len(n)), n)
+    width = np.bincount(row, size + 1, len(n)).astype(np.int64) + 1 + order
+    stream = np.full(8 + width.sum(), 32, np.uint8)
+    top = 8 + np.concatenate([[0], np.cumsum(width)])
+    pad = (top[:-1, None] + np.arange(order)).ravel()
+    stream[pad] = stream[top[1:] - 1] = 10
+    at = top[0] + np.cumsum(size + 1) - (size + 1) + row * (order + 1) + order
+    stream[np.repeat(at - off[:-1], size) + np.arange(len(buf))] = buf
+    coded = np.ones(len(stream), bool)
+    coded[:8] = coded[pad] = False
+    end = np.flatnonzero(coded)
+    lanes = np.ndarray((len(stream) - 7,), dtype=">u8", buffer=stream.data, strides=(1,))
+    return lanes[end - 7].astype(np.uint64) & _mask(order), np.repeat(np.arange(len(n)), width - order)
 
-def _pair(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix((ctx ^ (symbol.astype(np.uint64) + np.uint64(1))) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+def _sum(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams with their sums."""
+    o = np.argsort(g, kind="stable")
+    g, n = g[o], n[o]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    return g[first], np.add.reduceat(n, first) if len(g) else n
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,156 +121,244 @@ def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Level:
-    """Contexts of one order, sorted: hash, T, q, kept sum; what to exclude below; successors by pair hash."""
+    """Contexts of one order, sorted: T, q, and what their successors sum to one order down; pairs by gram."""
 
     ctx: np.ndarray
     total: np.ndarray
     distinct: np.ndarray
-    kept: np.ndarray
     less: np.ndarray
-    fewer: np.ndarray
     pair: np.ndarray
     n: np.ndarray
 
 
-def level(ctx: np.ndarray, total: np.ndarray, distinct: np.ndarray, owner: np.ndarray, symbol: np.ndarray, n: np.ndarray, above: "Level | None", parent: np.ndarray) -> Level:
-    """``owner``: the context of each kept successor; ``parent``: the context one shorter, by its hash; both in the order of ``ctx``."""
-    kept = np.bincount(owner, n, len(ctx))
-    less, fewer = np.zeros(len(ctx)), np.bincount(owner, minlength=len(ctx)).astype(float)
-    if above is not None and len(owner):
-        at, ok = _find(above.pair, _pair(parent[owner], symbol))
-        less = np.bincount(owner, np.where(ok, above.n[at], 0), len(ctx))
-    p = _pair(ctx[owner], symbol)
-    o = np.argsort(p)
-    return Level(ctx, total.astype(float), distinct.astype(float), kept, less, fewer, p[o], n[o].astype(float))
+def level(g: np.ndarray, n: np.ndarray, k: int, below: "Level | None") -> Level:
+    """Order k of sorted grams or longer ones; ``below``: the next shorter order, which has all their contexts."""
+    pair, n = _sum(g & _mask(k), n)
+    ctx, first = np.unique(pair >> U8, return_index=True)
+    sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
+    less = np.zeros(len(ctx)) if below is None else sums(below.n[_find(below.pair, pair & _mask(k - 1))[0]] if len(pair) else n)
+    return Level(ctx, sums(n), np.diff(np.append(first, len(pair))), less, pair, n)
 
 
-def _grams(vocab: DataFrame, k: int, shorter: np.ndarray | None, order: int) -> DataFrame:
-    """(ctx, parent, symbol, n) of order k over the distinct words, where the context one shorter is kept."""
+def levels_of(g: np.ndarray, n: np.ndarray, orders: range, low: list[Level]) -> list[Level]:
+    out = list(low)
+    for k in orders:
+        out.append(level(g, n, k, out[-1] if out else None))
+    return out
 
-    def run(batches):
-        for b in batches:
-            u = Units(b.column(0), order)
-            last = None
-            for i, h in u.hashes():
-                if i < k:
-                    last = h
-                    continue
-                break
-            ok = u.reach >= k
-            parent = last if last is not None else h
-            if shorter is not None:
-                ok &= _find(shorter, parent)[1]
-            p = _pair(h[ok], u.symbol[ok])
-            _, first, code = np.unique(p, return_index=True, return_inverse=True)
-            n = np.bincount(code, minlength=len(first)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[ok][first].view(np.int64)), pa.array(parent[ok][first].view(np.int64)), pa.array(u.symbol[ok][first].astype(np.int16)), pa.array(n)], names=["ctx", "parent", "symbol", "n"])
-
-    return vocab.mapInArrow(run, "ctx long, parent long, symbol short, n long")
+
+def chances(g: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 of the chance of each gram's last byte after the bytes before it."""
+    m = len(g)
+    log, live = np.zeros(m), np.arange(m)
+    less, fewer = np.zeros(m), np.zeros(m)
+    for k in range(len(levels) - 1, -1, -1):
+        lv = levels[k]
+        at, ok = _find(lv.pair, g[live] & _mask(k))
+        ca, seen = _find(lv.ctx, (g[live] & _mask(k)) >> U8)
+        t, q = (lv.total[ca] - less[live], lv.distinct[ca] - fewer[live]) if len(lv.ctx) else (np.zeros(len(live)),) * 2
+        hit = live[ok]
+        log[hit] += np.log10(lv.n[at[ok]] / (t + q)[ok])
+        out = seen & ~ok & (q > 0)  # otherwise all successors are excluded, and the escape is certain
+        log[live[out]] += np.log10(q[out] / (t + q)[out])
+        out = seen & ~ok
+        less[live[out]], fewer[live[out]] = lv.less[ca[out]], lv.distinct[ca[out]]
+        live = live[~ok]
+    log[live] -= np.log10(np.maximum(256 - fewer[live], 1))
+    return log
 
 
 def fit(vocab: DataFrame, symbols: int, s: Setting) -> list[Level]:
-    """The trie of the distinct words of ``vocab`` (tok), level by level; at most ``contexts`` contexts each."""
-    levels: list[Level] = []
-    floor = symbols / s.contexts
-    for k in range(s.order + 1):
-        g = _grams(vocab, k, levels[-1].ctx if levels else None, s.order).groupBy("ctx", "symbol").agg(F.max("parent").alias("parent"), F.sum("n").alias("n"))
-        succ = F.filter(F.collect_list(F.struct("symbol", "n")), lambda x: x["n"] >= floor / 8)  # at most 256 in a context
-        t = g.groupBy("ctx").agg(F.max("parent").alias("parent"), F.sum("n").alias("t"), F.count("*").alias("q"), succ.alias("s")).filter(F.col("t") >= floor)
-        got = t.toArrow()
-        ctx = got["ctx"].to_numpy().view(np.uint64)
-        o = np.argsort(ctx)
-        lists = got["s"].combine_chunks() if got["s"].num_chunks else pa.array([], got["s"].type)
-        if len(o):
-            lists = lists.take(pa.array(o))
-        owner = pc.list_parent_indices(lists).to_numpy()
-        inner = pc.list_flatten(lists)
-        sym, n = pc.struct_field(inner, "symbol").to_numpy().astype(np.int64), pc.struct_field(inner, "n").to_numpy()
-        levels.append(level(ctx[o], got["t"].to_numpy()[o], got["q"].to_numpy()[o], owner, sym, n, levels[-1] if levels else None, got["parent"].to_numpy().view(np.uint64)[o]))
-        if not len(ctx):
-            break
-    return levels
+    """The model of single words (tok), each a text of its own; for small lists."""
+    words = vocab.filter(F.col("tok") != F.lit(b"\n")).select("tok").toArrow()["tok"].combine_chunks()
+    g, _ = grams(words, np.arange(len(words)), np.ones(len(words), np.int64), s.order)
+    return levels_of(*_sum(g, np.ones(len(g), np.int64)), range(s.order + 1), [])
 
 
 def code_length(words: pa.Array, levels: list[Level], order: int) -> np.ndarray:
-    """log10 of each word's chance, its space included; the word ``\\n`` is the end of a text."""
-    u = Units(words, order)
-    m = len(u.pos)
-    log, done = np.zeros(m), np.zeros(m, bool)
-    less, fewer, base = np.zeros(m), np.zeros(m), np.full(m, 256.0)
-    hs = [h for _, h in u.hashes()]
-    for k in range(len(levels) - 1, -1, -1):
-        lv = levels[k]
-        live = np.flatnonzero(~done & (u.reach >= k))
-        at, ok = _find(lv.ctx, hs[k][live])
-        live, at = live[ok], at[ok]
-        t, q = lv.total[at] - less[live], lv.distinct[at] - fewer[live]
-        whole = t + q
-        some = whole > 0
-        live, at, whole = live[some], at[some], whole[some]
-        pt, ok = _find(lv.pair, _pair(hs[k][live], u.symbol[live]))
-        hit = live[ok]
-        log[hit] += np.log10(lv.n[pt[ok]] / whole[ok])
-        done[hit] = True
-        rest, ra, rw = live[~ok], at[~ok], whole[~ok]
-        escape = rw - (lv.kept[ra] - less[rest])
-        log[rest] += np.log10(np.maximum(escape, 1e-9) / rw)
-        less[rest], fewer[rest] = lv.less[ra], lv.fewer[ra]
-        if k == 0:
-            base[rest] = 256 - lv.fewer[ra]
-    log[~done] -= np.log10(np.maximum(base[~done], 1))
-    return np.bincount(u.unit, log, len(words))
+    """log10 of each word's chance as the first of a text, its space included; the word ``\n`` is the end of a text."""
+    end = np.array([w == b"\n" for w in words.to_pylist()])
+    g, row = grams(words, np.flatnonzero(~end), (~end).astype(np.int64), order)
+    last = np.append(row[1:] != row[:-1], True)
+    g, row = g[~last | end[row]], row[~last | end[row]]
+    return np.bincount(row, chances(g, levels), len(words))
+
+
+def _numbers(codes: bytes, large: bytes) -> np.ndarray:
+    code = np.frombuffer(codes, np.uint16).astype(np.int64)
+    code[code == 65535] = np.frombuffer(large, np.uint32)
+    return code
+
+
+def _shards(g: np.ndarray, order: int, n: int) -> np.ndarray:
+    """By the last three bytes of the context."""
+    return (mix((g >> U8 & _mask(min(LOW, order - 1))) * M1) % np.uint64(n)).astype(np.int64)
+
+
+def _coded(codes, large, toks, n, order: int, shards: int):
+    """Grams of a block: distinct ones by shard and value, which of them each byte is, the bytes' texts, and shards."""
+    g, row = grams(toks, _numbers(codes, large), n, order)
+    d = pa.array(g).dictionary_encode()
+    types, code = d.dictionary.to_numpy(), d.indices.to_numpy()
+    shard = _shards(types, order, shards)
+    by = np.lexsort((types, shard))
+    rank = np.empty(len(by), np.int32)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    return types[by], rank[code], row, shard[by]
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(x: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(x[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(x[8:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def _pack_grams(g: np.ndarray) -> bytes:
+    return _pack(np.diff(g, prepend=np.uint64(0)))
+
+
+def _unpack_grams(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
+
+
+def _sent(blocks: DataFrame, order: int, shards: int) -> DataFrame:
+    """(shard, block, grams, counts): what blocks have of each shard; shard -1: sums of their short contexts."""
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                held, n = b.column(4)[r].values.to_numpy(zero_copy_only=False), b.column(5)[r].values.to_numpy()
+                types, code, row, shard = _coded(b.column(1)[r].as_py(), b.column(2)[r].as_py(), b.column(3)[r].values, n, order, shards)
+                count = np.bincount(code[~held[row]], minlength=len(types))
+                lg, ln = _sum(types[count > 0] & _mask(min(LOW, order)), count[count > 0])
+                cut = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
+                at = [(int(shard[i]), types[i:j], count[i:j]) for i, j in zip(cut[:-1], cut[1:])] + [(-1, lg, ln)]
+                name = b.column(0)[r].as_py()
+                for i in range(0, len(at), 64):
+                    some = at[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([name] * len(some), pa.binary()), pa.array([_pack_grams(x[1]) for x in some], pa.binary()), pa.array([_pack(x[2].astype(np.uint32)) for x in some], pa.binary())], names=["shard", "block", "grams", "counts"])
+
+    return blocks.select("block", "codes", "large", "toks", "held", "n").mapInArrow(run, "shard int, block binary, grams binary, counts binary")
+
+
+class Counted:
+    """Sums of packed grams, merged whenever as many have come as there are."""
+
+    def __init__(self):
+        self.g, self.n, self.new, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, g: bytes, n: bytes) -> None:
+        g, n = _unpack_grams(g), _unpack(n, np.uint32)
+        self.new.append((g[n > 0], n[n > 0]))
+        self.size += len(g)
+        if self.size > max(1 << 20, len(self.g)):
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            self.g, self.n = _sum(np.concatenate([self.g, *[x[0] for x in self.new]]), np.concatenate([self.n, *[x[1] for x in self.new]]))
+            self.new, self.size = [], 0
+        return self.g, self.n
+
+
+def _short(sent: DataFrame, order: int) -> list[Level]:
+    """The contexts of at most LOW bytes, at the driver."""
+
+    def run(batches):
+        c = Counted()
+        for b in batches:
+            for r in range(b.num_rows):
+                c.add(b.column(0)[r].as_py(), b.column(1)[r].as_py())
+        g, n = c.done()
+        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+
+    got = sent.filter("shard = -1").select("grams", "counts").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    g, n = _sum(got["g"].to_numpy().view(np.uint64), got["n"].to_numpy())
+    return levels_of(g, n, range(min(LOW, order) + 1), [])
+
+
+def _answers(sent: DataFrame, low, order: int, tasks: int) -> DataFrame:
+    """(block, shard, lp): the chances of what each block has in each shard, in its order."""
+
+    def answered(shard, c, asks):
+        levels = levels_of(*c.done(), range(min(LOW, order) + 1, order + 1), low.value)
+        best = chances(levels[-1].pair, levels)
+        for i in range(0, len(asks), 64):
+            out = []
+            for block, packed in asks[i : i + 64]:
+                g = _unpack_grams(packed)
+                at, ok = _find(levels[-1].pair, g)
+                lp = np.zeros(len(g), np.float32)
+                lp[ok] = best[at[ok]]
+                lp[~ok] = chances(g[~ok], levels)
+                out.append((block, shard, _pack(lp)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["block", "shard", "lp"])
+
+    def run(batches):
+        now, c, asks = None, Counted(), []
+        for b in batches:
+            for r in range(b.num_rows):
+                shard = b.column(0)[r].as_py()
+                if shard != now:
+                    if asks:
+                        yield from answered(now, c, asks)
+                    now, c, asks = shard, Counted(), []
+                g = b.column(2)[r].as_py()
+                c.add(g, b.column(3)[r].as_py())
+                asks.append((b.column(1)[r].as_py(), g))  # packed: a shard is about Setting.contexts grams
+        if asks:
+            yield from answered(now, c, asks)
+
+    return sent.filter("shard >= 0").repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "block binary, shard int, lp binary")
 
 
 def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; ``held``: rows not to learn from."""
     scratch = Scratch(docs.sparkSession, "ppm")
-    blocks = scratch.write(_blocks(docs, held))
+    blocks = scratch.write(_blocks(docs, held, s.block))
     asked = blocks.select("block", F.posexplode(F.arrays_zip("toks", "train")).alias("i", "x")).select("block", "i", F.col("x.toks").alias("tok"), F.col("x.train").alias("n"))
     ends = blocks.select(F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("c"))
-    vocab = asked.groupBy("tok").agg(F.sum("n").alias("c")).unionByName(ends.select(F.lit(b"\n").alias("tok"), "c"))
-    vocab = scratch.write(vocab)
-    known = vocab.filter("c > 0")
-    facts = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum(F.when(F.col("c") > 0, F.length("tok") + 1)), F.lit(0)), F.count("*")).first()
-    total, distinct, symbols, types = (int(x) for x in facts)
+    vocab = scratch.write(asked.groupBy("tok").agg(F.sum("n").alias("c")).unionByName(ends.select(F.lit(b"\n").alias("tok"), "c")))
+    facts = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    total, distinct = (int(x) for x in facts)
     end = int(vocab.filter(F.col("tok") == F.lit(b"\n")).first()["c"])
-    parts = max(1, -(-types // s.types_a_task))
-    vocab = scratch.write(vocab.repartition(parts))
-    known = vocab.filter("c > 0")
-    levels = fit(known, symbols, s) if distinct else []
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # bounded by Setting.contexts and order
-    order = s.order
-
-    def measure(batches):
-        for b in batches:
-            # the whole word is the longest context of all: blended with the trie by its own escape
-            spelt = 10.0 ** code_length(b.column(0), shared.value, order)
-            p = (b.column(1).to_numpy() + distinct * spelt) / max(total + distinct, 1) if total else spelt
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.log10(np.maximum(p, 1e-300)))], names=["tok", "c", "lp"])
-
-    measured = scratch.write(vocab.select("tok", "c").mapInArrow(measure, "tok binary, c long, lp double"))
-    end_lp = float(measured.filter(F.col("tok") == F.lit(b"\n")).first()["lp"])
-    told = asked.drop("n").join(measured.hint("merge"), "tok").groupBy("block").agg(F.collect_list(F.struct("i", "c", "lp")).alias("a"))
-    j = blocks.select("block", "doc_id", "held", "n", "codes", "large").join(told.hint("merge"), "block", "left")
+    symbols = blocks.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] // 2 * 6  # bytes of text, about
+    order, shards = s.order, max(8, -(-symbols // (4 * s.contexts)))  # about a byte in four is new to its block
+    sent = scratch.write(_sent(blocks, order, shards))
+    low = docs.sparkSession.sparkContext.broadcast(_short(sent, order))  # bounded by the alphabet
+    answers = scratch.write(_answers(sent, low, order, shards))
+    scratch.drop(sent)
+    told = asked.drop("n").join(vocab.hint("merge"), "tok").groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("a"))
+    heard = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "lp")).alias("lp"))
+    j = blocks.select("block", "doc_id", "held", "n", "codes", "large", "toks").join(told.hint("merge"), "block", "left").join(heard.hint("merge"), "block")
     add = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                code = np.frombuffer(b.column(4)[r].as_py(), np.uint16).astype(np.int64)
-                code[code == 65535] = np.frombuffer(b.column(5)[r].as_py(), np.uint32)
+                code = _numbers(b.column(4)[r].as_py(), b.column(5)[r].as_py())
                 n = b.column(3)[r].values.to_numpy()
-                a = b.column(6)[r].values
+                a = b.column(7)[r].values
                 size = len(a) if a is not None else 0
-                c, lp = np.zeros(size), np.zeros(size)
+                c = np.zeros(size)
                 if size:
-                    i = pc.struct_field(a, "i").to_numpy()
-                    c[i], lp[i] = pc.struct_field(a, "c").to_numpy(), pc.struct_field(a, "lp").to_numpy()
+                    c[pc.struct_field(a, "i").to_numpy()] = pc.struct_field(a, "c").to_numpy()
                 row = np.repeat(np.arange(len(n)), n)
                 by = lambda w: np.bincount(row, w[code], len(n))
                 base = by(np.log10(c + 0.5) - add) + np.log10(end + 0.5) - add
+                l = b.column(8)[r].values
+                told_by = pc.struct_field(l, "lp").take(pa.array(np.unique(pc.struct_field(l, "shard").to_numpy(), return_index=True)[1]))  # blocks alike share answers
+                lp = np.concatenate([_unpack(x, np.float32) for x in told_by.to_pylist()])
+                _, which, text, _ = _coded(b.column(4)[r].as_py(), b.column(5)[r].as_py(), b.column(6)[r].values, n, order, shards)
+                score = np.bincount(text, lp[which], len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(1)[r].values, b.column(2)[r].values, pa.array(n + 1), pa.array((by((c > 0).astype(float)) + (end > 0)).astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(by(lp) + end_lp)],
+                    [b.column(1)[r].values, b.column(2)[r].values, pa.array(n + 1), pa.array((by((c > 0).astype(float)) + (end > 0)).astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

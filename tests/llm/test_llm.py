@@ -208,3 +208,48 @@ def test_pipeline(spark):
     n = spark.read.parquet(f"{d}/documents.parquet").select("doc_id").distinct().count()
     out = corpus_pipeline.run(spark, d).collect()
     assert 0 < len({x.doc_id for x in out}) <= n and all(x.round_trip and len(x.ids) == x.n_tokens for x in out)
+
+
+def brute_ppm(train, texts, order):
+    """Each byte from the bytes before it, by counting slices of the whole training streams."""
+    stream = lambda t: b"\n" * order + b"".join(w.encode() + b" " for w in words(t)) + b"\n"
+    seen = {}
+    for t in train:
+        s = stream(t)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen.setdefault(s[i - k : i], Counter())[s[i]] += 1
+
+    def chance(ctx, b):
+        p, out = 1.0, set()
+        for k in range(order, -1, -1):
+            c = {x: n for x, n in seen.get(ctx[order - k :], {}).items() if x not in out}
+            if not c:
+                continue
+            whole = sum(c.values()) + len(c)
+            if b in c:
+                return p * c[b] / whole
+            p, out = p * len(c) / whole, out | set(c)
+        return p / (256 - len(out))
+
+    return [sum(log10(chance(s[i - order : i], s[i])) for i in range(order, len(s))) for s in map(stream, texts)]
+
+
+@pytest.mark.parametrize("order", [1, 2, 4, 6])
+def test_ppm_against_brute_force_across_words(spark, order):
+    r = random.Random(4)
+    vocab = ["the", "cat", "sat", "on", "mat", "Über", "naïve", *("w%d" % r.randrange(99) for _ in range(30))]
+    texts = [" ".join(r.choices(vocab, k=r.randrange(25))) for _ in range(60)] + ["", None, "the cat sat on", "on sat cat the", "qqq ~ \x7f"]
+    out = {60, 62, 63, 64, *range(0, 60, 5)}
+    got = {x.doc_id: x.score for x in ppm_lm.scores(docs_of(spark, texts), F.col("doc_id").isin(list(out)), ppm_lm.Setting(order=order, block=400)).collect()}
+    want = brute_ppm([t for i, t in enumerate(texts) if i not in out], texts, order)
+    for i in range(len(texts)):
+        assert got[i] == pytest.approx(want[i], rel=1e-5), i
+    assert abs(got[62] - got[63]) > 0.1  # the order of words counts
+
+
+def test_ppm_blocks_alike(spark):
+    d = docs_of(spark, ["the cat sat", "a dog", "the mat"]).coalesce(1)
+    got = [(x.doc_id, x.score) for x in ppm_lm.scores(d.union(d), F.col("doc_id") == 2).collect()]
+    want = brute_ppm(["the cat sat", "a dog"] * 2, ["the cat sat", "a dog", "the mat"], 6)
+    assert len(got) == 6 and all(s == pytest.approx(want[i], rel=1e-5) for i, s in got)
