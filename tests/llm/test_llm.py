@@ -253,3 +253,10 @@ def test_ppm_blocks_alike(spark):
     got = [(x.doc_id, x.score) for x in ppm_lm.scores(d.union(d), F.col("doc_id") == 2).collect()]
     want = brute_ppm(["the cat sat", "a dog"] * 2, ["the cat sat", "a dog", "the mat"], 6)
     assert len(got) == 6 and all(s == pytest.approx(want[i], rel=1e-5) for i, s in got)
+
+
+def test_ppm_keeps_contexts_seen_once(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choices("abcdefghij", k=200)) for _ in range(2000)] + ["zyxwvut", "zyxwvut"]
+    got = ppm_lm.scores(docs_of(spark, texts), F.col("doc_id") == 2001).filter("doc_id = 2001").first().score
+    assert got == pytest.approx(brute_ppm(texts[:-1], texts[-1:], 6)[0], rel=1e-5)
