@@ -25,6 +25,7 @@ from ..sources import store
 ABC = "a-z"
 STOP = ["the", "and", "der", "die", "que", "les"]
 OPTIONS = Y.Options(min_frequency=5, alphabet=ABC, stop=tuple(STOP))
+WHOLE = Y.Options(alphabet=ABC, stop=tuple(STOP))  # the reference's defaults: words of two articles and more
 QUERY = "the tion of ering thtion"
 
 
@@ -142,8 +143,8 @@ PAIRS = f"""{DF}, big as (select id,word,df from tok join df using(word) where d
 , pairs as (select word1,word2,df1::bigint df1,df2::bigint df2,co::bigint co,round(co/(df1+df2-co),9) jaccard,round(co/sqrt(df1*df2),9) cosine from pr where co>=2 and co/(df1+df2-co)>=0.25)"""
 
 
-def _pairs(spark, d, top=False) -> DataFrame:
-    return Y.word_pairs(tokens(spark, d), OPTIONS, top=top)
+def _pairs(spark, d, top=False, o=OPTIONS) -> DataFrame:
+    return Y.word_pairs(tokens(spark, d), o, top=top)
 
 
 def _shown(p: DataFrame) -> DataFrame:
@@ -185,14 +186,43 @@ def phrase_occurrences(spark, d):
 
 @query()
 def mine_synonyms(spark, d):
-    e, c, _ = Y.mine(articles(spark, d), OPTIONS)
+    e, c, _ = Y.mine(articles(spark, d), WHOLE)
     return e.join(c, "word", "left")
 
 
 @query()
 def synonym_confidences(spark, d):
-    p = _pairs(spark, d)
-    return Y.confidences(p, Y.validate(p, articles(spark, d), OPTIONS))
+    p = _pairs(spark, d, o=WHOLE)
+    return Y.confidences(p, Y.validate(p, articles(spark, d), WHOLE))
+
+
+# the same queries over all pairs, as the reference mines them; those above are held to their SQL, which keeps to words of five articles
+
+
+@query()
+def cooccurrence_pairs_all(spark, d):
+    return _shown(_pairs(spark, d, o=WHOLE))
+
+
+@query()
+def top_synonyms_all(spark, d):
+    return _shown(Y.top_pairs(_shown(_pairs(spark, d, o=WHOLE))))
+
+
+@query()
+def mining_stats_all(spark, d):
+    s = Y.mining_stats(_pairs(spark, d, o=WHOLE), articles(spark, d))
+    return s.select("total_pairs", *[F.round(c, 6).alias(c) for c in ("min_similarity", "avg_similarity", "max_similarity")], "total_words", "articles_analyzed")
+
+
+@query()
+def synonym_groups_all(spark, d):
+    return Y.groups(_pairs(spark, d, o=WHOLE))
+
+
+@query()
+def morph_variant_pairs_all(spark, d):
+    return _pairs(spark, d, o=WHOLE).filter(Y.morphological(F.col("word1"), F.col("word2"))).select("word1", "word2")
 
 
 DICT = [("big", "large"), ("big", "huge"), ("fast", "quick")]
