@@ -138,6 +138,12 @@ def inverted_index(spark, d):
     return p.select("word", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query()
+def inverted_index_all(spark, d):
+    """Without a limit of document frequency, as by the reference's default; a row per posting, so no word is one row or task."""
+    return A.inverted_index(tokens(spark, d)).select("word", "id", "df")
+
+
 PAIRS = f"""{DF}, big as (select id,word,df from tok join df using(word) where df>=5)
 , pr as (select x.word word1,y.word word2,x.df df1,y.df df2,count(*) co from big x join big y on x.id=y.id and x.word<y.word and least(x.df,y.df)>=0.25*greatest(x.df,y.df) group by all)
 , pairs as (select word1,word2,df1::bigint df1,df2::bigint df2,co::bigint co,round(co/(df1+df2-co),9) jaccard,round(co/sqrt(df1*df2),9) cosine from pr where co>=2 and co/(df1+df2-co)>=0.25)"""

@@ -51,3 +51,10 @@ def test_all_pairs(spark, small):
     mined = {(r.word, r.synonym) for r in C.Q["mine_synonyms"](spark, d).collect()}
     assert {("quartz", "velvet"), ("velvet", "hammer")} <= mined
     assert {"quartz", "hammer"} <= {r.word for r in C.Q["synonym_confidences"](spark, d).collect()}
+
+
+def test_whole_index(spark, small):
+    d, sets = small
+    got = Counter((r.word, r.id, r.df) for r in C.Q["inverted_index_all"](spark, d).collect())
+    assert len(sets["common"]) > 200
+    assert got == Counter((w, i, len(s)) for w, s in sets.items() if len(s) >= 2 for i in s)
