@@ -493,7 +493,7 @@ def page_links(spark, d):
 @query()
 def rerank_gbt(spark, d):
     j = _labelled(spark, d).withColumn("score", F.col("position") * 0.5)
-    _, held = TR.train_reranker(TR.samples(j, articles(spark, d), by_user=False), rounds=5, depth=3)
+    _, held = TR.train_reranker(TR.samples(j, articles(spark, d), by_user=False))
     return held.select("queryId", "documentId", "label", "rerank_score")
 
 

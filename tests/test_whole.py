@@ -58,3 +58,21 @@ def test_whole_index(spark, small):
     got = Counter((r.word, r.id, r.df) for r in C.Q["inverted_index_all"](spark, d).collect())
     assert len(sets["common"]) > 200
     assert got == Counter((w, i, len(s)) for w, s in sets.items() if len(s) >= 2 for i in s)
+
+
+def test_reranker_has_rounds_and_leaves_of_the_reference(spark, small, monkeypatch):
+    seen = {}
+
+    class Seen(Exception):
+        pass
+
+    class Boosting:
+        def __init__(self, **kw):
+            seen.update(kw)
+            raise Seen
+
+    monkeypatch.setattr(C.TR, "GBTRegressor", Boosting)
+    monkeypatch.setattr(C, "_labelled", lambda s, d: s.createDataFrame([], "query_id string, query_text string, document_id bigint, position int, label int, confidence double, score double, comment string, at timestamp"))
+    with pytest.raises(Seen):
+        C.Q["rerank_gbt"](spark, small[0])
+    assert (seen["maxIter"], 2 ** seen["maxDepth"], seen["minInstancesPerNode"], seen["stepSize"]) == (200, 64, 20, 0.1)
