@@ -144,7 +144,8 @@ def _contexts(docs: DataFrame, hot: DataFrame, s: Setting) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    j = docs.select("doc_id", "th", "text").join(hot.hint("merge"), ["doc_id", "th"])
+    of = hot.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "a").hint("merge")
+    j = docs.select("doc_id", "th", "text").join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     return j.select("doc_id", "th", "text", "a").mapInArrow(run, f"doc_id {kind}, th long, f long, start long, ch long, body binary")
 
 

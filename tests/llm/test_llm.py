@@ -260,3 +260,12 @@ def test_ppm_keeps_contexts_seen_once(spark):
     texts = ["".join(r.choices("abcdefghij", k=200)) for _ in range(2000)] + ["zyxwvut", "zyxwvut"]
     got = ppm_lm.scores(docs_of(spark, texts), F.col("doc_id") == 2001).filter("doc_id = 2001").first().score
     assert got == pytest.approx(brute_ppm(texts[:-1], texts[-1:], 6)[0], rel=1e-5)
+
+
+def test_suffix_rows_without_an_id(spark):
+    r = random.Random(8)
+    new = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p = new(90)
+    texts = [new(50) + p + new(30), new(20) + p + new(45), new(130)]
+    got = {x.n_bytes: x.n_removed for x in suffix_dedup.dedup(docs_of(spark, texts, [None, 1, None]), suffix_dedup.Setting(length=40, k=20)).collect()}
+    assert got == {170: 90, 155: 90, 130: 0}
