@@ -5,19 +5,21 @@ Documents with equal sets form one class, named by 128 bits of hash, and everyth
 
 1. Candidates: minima of ``bands * rows`` hash functions; classes that agree in all rows of a band share a
    bucket. At a similarity of 0.8 a pair misses all 36 bands of 6 rows with a chance of 2e-5.
-2. Stars: in each bucket every class is compared with the bucket's first class.
+2. Stars: in each bucket every class is compared with the bucket's lead, the class with the largest buckets,
+   so that the buckets of a group of copies mostly have one lead, at its centre.
 3. Sequential Bayesian verification: signatures, a byte a minimum, are compared in batches of 24. A pair
    goes as soon as the posterior chance of the wanted similarity falls under ``miss``.
 4. Survivors are verified exactly on the full sets, made anew from the texts.
 5. Links make components (least label with pointer jumping, tables in the shared folder).
-6. Buckets that still hold several components take ``turns`` more stars around other classes, which joins
-   what belongs together at a cost linear in the bucket. What is still apart then is compared in full, block
-   by block of about 256 classes, so that a large group is never in one task; only pairs of different components
-   that survive the pruning become rows and are verified. So no candidate pair goes untested.
-
-Nulls and empty texts have empty sets and are linked with nothing. Rows that repeat a doc_id share its
-component; the component's id is the least doc_id in it. An empty table gives an empty result; other
-columns are ignored.
+6. Buckets that still hold several components: every class of such a bucket is written as its differences from the
+   lead's set. How many differences two classes must share follows from their sizes (see _met), so a join on the
+   rarest differences of each gives all pairs that can be linked, exactly, without meeting all pairs of a
+   group. These are pruned and verified as before; their links join the components of step 5.
+
+Nulls and empty texts have empty sets and are linked with nothing. Very long texts are sets like others. Rows that
+repeat a doc_id share its component; the component's id is the least doc_id in it, and null only if no row has one.
+In the query, a row without an id is kept where its component has no id. Ties of leads go to the greater class
+name and change no result. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +45,6 @@ class Setting:
     rows: int = 6
     batch: int = 24
     miss: float = 1e-6
-    block: int = 256
-    turns: int = 3
     seed: int = 7
 
 
@@ -218,50 +218,75 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, sid, label, m): the members of buckets of three or more that hold several components."""
-    m = members.select("key", "sid").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2")
-    return m.join(mixed.select("key", "m"), "key")
+def _typical(members: DataFrame) -> DataFrame:
+    """(key, lead): the class of each bucket whose buckets are the largest in sum; buckets of a group mostly share it."""
+    size = members.groupBy("key").agg(F.count("*").alias("m"))
+    typical = members.join(size.hint("merge"), "key").groupBy("sid").agg(F.sum("m").alias("m"))
+    return members.join(typical.hint("merge"), "sid").groupBy("key").agg(F.max(F.struct("m", "sid"))["sid"].alias("lead"))
+
 
+def _groups(members: DataFrame, leads: DataFrame, labels: DataFrame) -> DataFrame:
+    """(lead, sid, label, alone): the buckets of three or more that still hold several components, by lead.
 
-def _again(mixed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a new first class of each bucket, by a hash of this turn, with the members of other components."""
-    lead = mixed.groupBy("key").agg(F.min_by(F.struct(F.col("sid").alias("a"), F.col("label").alias("la")), F.xxhash64("sid", F.lit(turn))).alias("l"))
-    j = mixed.join(lead, "key").filter(F.col("label") != F.col("l.la"))
-    return j.select(F.col("l.a").alias("a"), F.col("sid").alias("b")).distinct()
+    ``alone``: not in the lead's component. Buckets with one lead are one group.
+    """
+    m = members.join(labels.select(F.col("node").alias("sid"), "label").hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo <> hi and m > 2")
+    own = labels.select(F.col("node").alias("lead"), F.col("label").alias("ll"))
+    at = mixed.join(leads.hint("merge"), "key").join(own.hint("merge"), "lead", "left").select("key", "lead", F.coalesce("ll", "lead").alias("ll"))
+    m = m.join(at.hint("merge"), "key").groupBy("lead", "sid").agg(F.first("label").alias("label"), F.first("ll").alias("ll"))
+    return m.select("lead", "sid", "label", (F.col("label") != F.col("ll")).alias("alone"))
 
 
-def _across(m: DataFrame, classes: DataFrame, s: Setting) -> DataFrame:
-    """Surviving pairs of different components within the buckets of ``m`` (the result of _mixed)."""
-    width = s.bands * s.rows
-    m = m.join(classes.select("sid", "n", "sig"), "sid")
-    block = F.pmod(F.xxhash64("sid", F.lit(s.seed)), F.ceil(F.col("m") / F.lit(s.block)))
-    packed = F.concat("sid", "label", F.unhex(F.lpad(F.hex("n"), 16, "0")), "sig")
-    # a salt keeps what one task collects to a block; the blocks of a bucket meet in pairs
-    blocks = m.groupBy("key", block.alias("blk")).agg(F.collect_list(packed).alias("rows"))
-    j = blocks.alias("x").join(blocks.select("key", F.col("blk").alias("blk2"), F.col("rows").alias("rows2")).hint("merge"), "key")
-    j = j.filter("blk <= blk2").select("blk", "blk2", "rows", "rows2")
-    least = s.least
+def _differences(groups: DataFrame, texts: DataFrame, s: Setting) -> DataFrame:
+    """(lead, sid, label, alone, cost, least, marks): what each class's set lacks of its lead's and adds to it, as hashes.
+
+    ``cost``: see _met; ``least``: the cost of the lead, under which no class of the group is.
+    """
+    j = groups.join(texts.select("sid", F.col("text").alias("tb")).hint("merge"), "sid")
+    j = j.join(texts.select(F.col("sid").alias("lead"), F.col("text").alias("ta")).hint("merge"), "lead").select("lead", "sid", "label", "alone", "ta", "tb")
+    part = s.least
 
     def run(batches):
-        for t in batches:
-            for i in range(t.num_rows):
-                x, y = (_matrix(t.column(c)[i].values, 40 + width) for c in (2, 3))
-                nx, ny = (np.ascontiguousarray(z[:, 32:40]).view(">i8")[:, 0].astype(np.int64) for z in (x, y))
-                one = t.column(0)[i] == t.column(1)[i]
-                got_a, got_b = [], []
-                for r in range(len(x)):
-                    ok = (y[:, 16:32] != x[r, 16:32]).any(1) & (100 * np.minimum(ny, nx[r]) >= least * np.maximum(ny, nx[r]))
-                    if one:
-                        ok[: r + 1] = False
-                    c = np.flatnonzero(ok)
-                    c = c[survive(np.broadcast_to(x[r, 40:], (len(c), width)), y[c, 40:], s)]
-                    got_a += [x[r, :16].tobytes()] * len(c)
-                    got_b += [y[k, :16].tobytes() for k in c]
-                yield pa.RecordBatch.from_arrays([pa.array(got_a, pa.binary()), pa.array(got_b, pa.binary())], names=["a", "b"])
-
-    return j.mapInArrow(run, "a binary, b binary").distinct()
+        for t in pieces(batches):
+            x, y = shingle_sets(t.column(4), s.words), shingle_sets(t.column(5), s.words)
+            lists, cost, lowest = [], [], []
+            for p, q in zip(x, y, strict=True):
+                marks = np.setxor1d(p, q, assume_unique=True)
+                lacks = (len(marks) + len(p) - len(q)) // 2
+                lowest.append((part - 100) * len(p))
+                cost.append(200 * lacks + 2 * part * (len(marks) - lacks) + lowest[-1])
+                lists.append(marks.view(np.int64))
+            off = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            marks = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*t.columns[:4], pa.array(cost, pa.int64()), pa.array(lowest, pa.int64()), marks], names=["lead", "sid", "label", "alone", "cost", "least", "marks"])
+
+    return j.mapInArrow(run, "lead binary, sid binary, label binary, alone boolean, cost long, least long, marks array<long>")
+
+
+def _met(diff: DataFrame, s: Setting) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar enough by what they share of their differences.
+
+    With a lead of b shingles, of which x lacks r(x), and a(x) that x adds, the sets of x and y share
+    b - r(x) - r(y) and the differences that both have. So with p = ``least`` per cent and
+    cost(x) = 200 r(x) + 2 p a(x) - (100 - p) b they are similar enough if and only if
+    (200 + 2 p) * shared >= cost(x) + cost(y). Where that sum isn't positive, both are linked to the lead already.
+    All others must share t >= 1 differences, so one among the rarest but t - 1 of each; a difference with
+    i rarer ones of m after it can only meet classes of a cost up to a bound, and that bound is part of the join.
+    """
+    scale = 200 + 2 * s.least
+    posts = diff.select("lead", "sid", "label", "alone", "cost", "least", F.explode("marks").alias("mark"))
+    often = posts.groupBy("lead", "mark").agg(F.count("*").alias("n"), F.max("alone").alias("any")).filter("n > 1 and any").drop("any")
+    seen = posts.join(often.hint("merge"), ["lead", "mark"]).groupBy("lead", "sid").agg(F.sort_array(F.collect_list(F.struct("n", "mark"))).alias("o"), *[F.first(c).alias(c) for c in ("label", "alone", "cost", "least")])
+    # differences that no class out of the lead's component shares come first, and lead to none
+    rank = seen.select("lead", "sid", "label", "alone", "cost", "least", F.size("o").alias("m"), F.posexplode("o").alias("i", "x"))
+    rank = rank.select("lead", "sid", "label", "alone", "cost", "least", F.col("x.mark").alias("mark"), (F.lit(scale).cast("long") * (F.col("m") - F.col("i")) - F.col("cost")).alias("most"))
+    rank = rank.filter("most >= least")
+    x = rank.filter("alone").select("lead", "mark", *[F.col(c).alias(f"{c}_x") for c in ("sid", "label", "cost", "most")])
+    y = rank.select("lead", "mark", *[F.col(c).alias(f"{c}_y") for c in ("sid", "label", "alone", "cost", "most")])
+    j = x.join(y.hint("merge"), ["lead", "mark"])
+    j = j.filter("label_x <> label_y and cost_y <= most_x and cost_x <= most_y and (not alone_y or sid_x < sid_y)")
+    return j.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, s: Setting = Setting()) -> DataFrame:
@@ -271,24 +296,25 @@ def near_duplicates(docs: DataFrame, s: Setting = Setting()) -> DataFrame:
     full = sets.filter("n > 0")
     classes = full.groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     keyed = full.select(F.explode("keys").alias("key"), "sid")
-    shared = keyed.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).filter("lead <> last").select("key", "lead")
-    members = scratch.write(keyed.join(shared.hint("merge"), "key").groupBy("key", "lead", "sid").agg(F.lit(1).alias("_")).drop("_"))
-    stars = members.filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("key")
+    members = scratch.write(keyed.join(shared.hint("merge"), "key").groupBy("key", "sid").agg(F.lit(1).alias("_")).drop("_"))
+    leads = scratch.write(_typical(members))
+    stars = members.join(leads.hint("merge"), "key").filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     classes = scratch.write(classes.join(members.select("sid").distinct().hint("merge"), "sid", "left_semi"))
     texts = scratch.write(_texts(classes, docs, sets))
     links = scratch.write(_verify(_prune(stars, classes, s), texts, s))
     labels = components(links, scratch)
-    left = scratch.write(_mixed(members, labels))
-    for turn in range(s.turns):
-        if not left.limit(1).count():
-            break
-        new = scratch.write(_verify(_prune(_again(left, turn), classes, s), texts, s))
-        links = links.unionByName(new)
-        labels = components(links, scratch)
-        left = scratch.write(_mixed(left, labels))
-    more = scratch.write(_verify(_across(left, classes, s), texts, s))
-    if more.limit(1).count():
-        labels = components(links.unionByName(more), scratch)
+    groups = scratch.write(_groups(members, leads, labels))
+    diff = scratch.write(_differences(groups, texts, s))
+    more = scratch.write(_verify(_prune(_met(diff, s), classes, s), texts, s))
+    if more.limit(1).count():  # these links join components, which are few against all classes
+        of = labels.select(F.col("node").alias("sid"), "label")
+        ends = more
+        for c in ("a", "b"):
+            ends = ends.join(of.select(F.col("sid").alias(c), F.col("label").alias(f"l{c}")).hint("merge"), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+        up = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
+        known = labels.unionByName(up.join(of.select(F.col("sid").alias("node")), "node", "left_anti").select("node", F.col("node").alias("label")))
+        labels = known.join(up.select(F.col("node").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     least = full.groupBy("sid").agg(F.min("doc_id").alias("d"))
     least = least.join(labels.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     by = least.groupBy("label").agg(F.min("d").alias("component_id"))
@@ -300,4 +326,4 @@ def near_duplicates(docs: DataFrame, s: Setting = Setting()) -> DataFrame:
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), Setting(words=4))
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -126,7 +126,9 @@ def test_minhash_brute_force(spark):
     r = random.Random(3)
     new = lambda n: " ".join(f"t{r.randrange(10**6)}" for _ in range(n))
     texts = [new(120) for _ in range(30)] + copies(r, new(150), 60, 0.02) + copies(r, new(100), 20, 0.04) + ["x y", "x y", "", None, "X y"]
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.near_duplicates(docs_of(spark, texts), minhash_dedup.Setting(words=4, block=8)).collect()}
+    texts += [x for rate in (0.005, 0.02, 0.03, 0.045) for x in copies(r, texts[0], 125, rate)]  # a large group about the limit
+    texts += [x for t in copies(r, texts[0], 40, 0.045) for x in copies(r, t, 3, 0.01)]  # small ones at its border
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.near_duplicates(docs_of(spark, texts), minhash_dedup.Setting(words=4)).collect()}
     sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set()) for w in map(words, texts)]
     up = list(range(len(texts)))
 
