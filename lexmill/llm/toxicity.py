@@ -1,8 +1,8 @@
 """Toxicity by weak supervision (operator 9).
 
 1. Items: words and word beginnings (3 to 7 characters) that occur in toxic labelled rows and hardly
-   in others. They are mined from at most ``sample_rows`` labelled training rows; near copies of a row
-   count once, so that the words of a much copied text don't look like evidence.
+   in others. They are mined by the executors from at most ``sample_rows`` labelled training rows; near copies of a row
+   count once, so that the words of a much copied text don't look like evidence. No text reaches the driver.
 2. Voters: the items are dealt to ``lexicons`` word voters and ``patterns`` pattern voters. A voter votes
    toxic where one of its items occurs. The votes of all training rows are counted by pattern, at most
    2 ** voters rows.
@@ -14,7 +14,9 @@
 
 Labels are read of training rows only; lang, source and doc_id are never inputs of a score. Nulls and
 empty texts have no item and get the score of the bias; a null label or id is left out of training.
-Without any toxic label every score is 0. Rows alike get the same score; other columns are ignored.
+Without any toxic label every score is 0. Rows alike get the same score, very long texts are scored whole; an id that
+repeats is learnt from by its least text. Ties between items go to words, then to longer beginnings, then by text.
+Other columns pass through; a column ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, empty_text, flat, hash_spans, pieces, table
+from .common import LOWER, Scratch, crc_mod, empty_text, flat, hash_spans, pieces, table
 
 
 @dataclass(frozen=True)
 class Setting:
-    """``sample_rows`` bounds the labelled rows that items and the classifier are learnt from."""
+    """``sample_rows`` bounds the labelled rows that items and the classifier are learnt from, one text for each id.
+
+    ``most_items``: the items with the most rows that are taken; a linear model of so many weights.
+    """
 
     sample_rows: int = 8000
     lexicons: int = 6
@@ -90,44 +95,86 @@ def _sketch(words: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def mine(texts: pa.Array, toxic: np.ndarray, s: Setting, block: int = 500) -> list[tuple[int, str]]:
+def _sample(docs: DataFrame, labels: DataFrame, s: Setting, scratch: Scratch) -> DataFrame:
+    """(mark, foul, toxic, text) of the labelled training rows, one text for each id; rows alike in ``mark`` are near copies.
+
+    A mark with a toxic row is ``foul``.
+    """
+    own = labels.filter(crc_mod("doc_id", 3) != 1).filter("doc_id is not null and toxic is not null")
+    own = own.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
+    text = docs.select("doc_id", empty_text().alias("text")).join(F.broadcast(own), "doc_id")  # at most sample_rows rows of two numbers
+    one = text.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("toxic", "text")
+
+    def run(batches):
+        for b in pieces(batches):
+            _, h, rows, _ = next(items_of(b.column(1), ()))
+            yield pa.RecordBatch.from_arrays([pa.array(_sketch(h, rows, b.num_rows).view(np.int64)), *b.columns], names=["mark", "toxic", "text"])
+
+    rows = scratch.write(one.mapInArrow(run, "mark long, toxic boolean, text string"))
+    foul = rows.groupBy("mark").agg(F.max("toxic").alias("foul"))
+    return scratch.write(rows.join(foul.hint("merge"), "mark").select("mark", "foul", "toxic", "text"))
+
+
+def _pairs(code: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([code, mark]), axis=1) if len(code) else np.zeros((2, 0), np.int64)
+
+
+def mine(sample: DataFrame, s: Setting) -> list[tuple[int, str]]:
     """(kind, item) by decreasing rows: kind 0 is a word, n a beginning of n characters.
 
-    Candidates come from the toxic rows; the other rows then go by in blocks and are only asked for these.
+    Candidates come from the toxic rows; the other rows are only asked for these. Rows of one mark count once: they
+    meet in one task. Only items and numbers reach the driver.
     """
-    if not toxic.any():
+    dealt = sample.repartition(max(1, s.sample_rows // 250), "mark")
+
+    def up(batches):
+        shown, met = {}, defaultdict(list)
+        for b in pieces(batches, 1 << 20):
+            mark = b.column(0).to_numpy()
+            for kind, h, rows, (buf, a, z) in items_of(b.column(1), s.prefixes):
+                u, at, code = np.unique(h, return_index=True, return_inverse=True)
+                for x, i in zip(u.tolist(), at.tolist(), strict=True):
+                    if (kind, x) not in shown:
+                        shown[kind, x] = bytes(buf[a[i] : z[i]]).decode("utf-8", "replace")
+                met[kind].append(_pairs(h.view(np.int64), mark[rows]))
+        for kind, parts in met.items():
+            u, n = np.unique(_pairs(*np.concatenate(parts, axis=1))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array([shown[kind, x] for x in u.view(np.uint64).tolist()], pa.string()), pa.array(n)], names=["kind", "h", "item", "up"])
+
+    facts = sample.agg(F.count("*"), F.count(F.when(F.col("toxic"), 1))).first()
+    if not facts[1]:
         return []
-    marks = []
-    for i in range(0, len(texts), block):
-        _, h, rows, _ = next(items_of(texts.slice(i, block), ()))
-        marks.append(_sketch(h, rows, len(texts.slice(i, block))))
-    group = np.unique(np.concatenate(marks), return_inverse=True)[1]
-    own = np.flatnonzero(toxic)
-    foul = np.unique(group[own])  # a group with a toxic row counts as toxic
-    share = max(toxic.mean(), 1e-6)
-    cand: dict[int, tuple[np.ndarray, np.ndarray, list[str], int]] = {}
-    for kind, h, rows, (buf, a, z) in items_of(texts.take(pa.array(own)), s.prefixes):
-        u, at, code = np.unique(h, return_index=True, return_inverse=True)
-        pairs = np.unique(np.stack([code, group[own][rows]]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-        up = np.bincount(pairs[0], minlength=len(u))
-        ok = np.flatnonzero(up >= s.least_rows)
-        cand[kind] = u[ok], up[ok], [bytes(buf[a[at[i]] : z[at[i]]]).decode("utf-8", "replace") for i in ok], len(u)
-    seen = {k: [np.zeros((2, 0), np.int64)] for k in cand}
-    clean = np.flatnonzero(~toxic & ~np.isin(group, foul))
-    for i in range(0, len(clean), block):
-        part = clean[i : i + block]
-        for kind, h, rows, _ in items_of(texts.take(pa.array(part)), s.prefixes):
-            u = cand[kind][0]
-            if len(u):
-                at = np.minimum(np.searchsorted(u, h), len(u) - 1)
-                ok = u[at] == h
-                seen[kind].append(np.unique(np.stack([at[ok], group[part][rows[ok]]]), axis=1))
-    found = []
-    for kind, (u, up, shown, total) in cand.items():
-        down = np.bincount(np.unique(np.concatenate(seen[kind], axis=1), axis=1)[0], minlength=len(u))
-        # and more rows than chance gives at the share of toxic rows
-        ok = (up / (up + down + 0.1) >= s.purity) & (up * np.log(1 / share) > np.log(max(total, 2)) + 3)
-        found += [(int(up[i]), kind, shown[i]) for i in np.flatnonzero(ok)]
+    share = max(facts[1] / facts[0], 1e-6)
+    seen = dealt.filter("toxic").select("mark", "text").mapInArrow(up, "kind int, h long, item string, up long")
+    seen = seen.groupBy("kind", "h").agg(F.sum("up").alias("up"), F.min("item").alias("item"))
+    total = {r[0]: r[1] for r in seen.groupBy("kind").count().collect()}
+    got = seen.filter(F.col("up") >= s.least_rows).toArrow().sort_by([("kind", "ascending"), ("h", "ascending")])
+    kinds, h, ups, shown = got["kind"].to_numpy(), got["h"].to_numpy(), got["up"].to_numpy(), got["item"].to_pylist()
+    # and more rows than chance gives at the share of toxic rows
+    sure = ups * np.log(1 / share) > np.log(np.maximum([total[k] for k in kinds.tolist()], 2)) + 3
+    kinds, h, ups, shown = kinds[sure], h[sure], ups[sure], [x for x, ok in zip(shown, sure, strict=True) if ok]
+    wanted = {int(k): (h[kinds == k], np.flatnonzero(kinds == k)) for k in np.unique(kinds)}
+
+    def down(batches):
+        met = []
+        for b in pieces(batches, 1 << 20):
+            mark = b.column(0).to_numpy()
+            for kind, x, rows, _ in items_of(b.column(1), s.prefixes):
+                if kind in wanted:
+                    u, ids = wanted[kind]
+                    x = x.view(np.int64)
+                    at = np.minimum(np.searchsorted(u, x), len(u) - 1)
+                    ok = u[at] == x
+                    met.append(_pairs(ids[at[ok]], mark[rows[ok]]))
+        if met:
+            u, n = np.unique(_pairs(*np.concatenate(met, axis=1))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], names=["i", "down"])
+
+    against = np.zeros(len(ups))
+    if wanted:
+        told = dealt.filter("not foul").select("mark", "text").mapInArrow(down, "i long, down long").groupBy("i").agg(F.sum("down").alias("down")).toArrow()
+        against[told["i"].to_numpy()] = told["down"].to_numpy()
+    found = [(int(ups[i]), int(kinds[i]), shown[i]) for i in np.flatnonzero(ups / (ups + against + 0.1) >= s.purity)]
     found.sort(key=lambda x: (-x[0], x[1] != 0, -x[1], x[2]))
     return [(k, t) for _, k, t in found[: s.most_items]]
 
@@ -262,18 +309,12 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, s: Setting = Setting()) -> Model:
     """Learns from the rows of ``docs`` whose remainder isn't 1, and only their labels."""
-    own = labels.filter(crc_mod("doc_id", 3) != 1).filter("doc_id is not null and toxic is not null")
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
-    text = docs.select("doc_id", empty_text().alias("text"))
-    sample = text.join(F.broadcast(own), "doc_id")  # at most sample_rows rows of two numbers
-
-    found = sample.limit(2 * s.sample_rows)  # ids may repeat in docs
-    frame = found.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts, toxic = frame["text"].combine_chunks(), frame["toxic"].to_numpy() == 1
-    items = mine(texts, toxic, s)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = _sample(docs, labels, s, scratch)
+    items = mine(sample, s)
     if not items:
         return Model([], np.zeros(0), -40.0, None, s)
-    voter, match = voters_of(items, s), _matcher(items, s)
+    voter = voters_of(items, s)
 
     def count(batches):
         for b in pieces(batches):
@@ -282,15 +323,19 @@ def train(docs: DataFrame, labels: DataFrame, s: Setting = Setting()) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], names=["votes", "n"])
 
     training = docs.filter(crc_mod("doc_id", 3) != 1).select(empty_text().alias("text"))
-    seen = training.mapInArrow(count, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).toPandas()
-    seen = seen.sort_values("votes")
-    model = fit_labels(seen.votes.to_numpy(), seen.n.to_numpy().astype(float), s.lexicons + s.patterns, s)
-    met = [np.zeros((2, 0), np.int64)]
-    for i in range(0, len(texts), 500):
-        rows, hits = match(texts.slice(i, 500))
-        met.append(np.stack([rows + i, hits]))
-    rows, hits = np.concatenate(met, axis=1)
-    y = model.posterior(_votes(rows, hits, len(texts), voter))
+    seen = training.mapInArrow(count, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).toArrow().sort_by("votes")
+    model = fit_labels(seen["votes"].to_numpy(), seen["n"].to_numpy().astype(float), s.lexicons + s.patterns, s)
+
+    def met(batches):
+        match = _matcher(items, s)
+        for b in pieces(batches):
+            rows, hits = match(b.column(0))
+            off = np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(_votes(rows, hits, b.num_rows, voter)), pa.ListArray.from_arrays(pa.array(off), pa.array(hits))], names=["votes", "hits"])
+
+    got = sorted(((r.votes, tuple(r.hits)) for r in sample.select("text").mapInArrow(met, "votes long, hits array<long>").collect()))
+    y = model.posterior(np.array([v for v, _ in got], np.int64))
+    rows, hits = np.repeat(np.arange(len(got)), [len(x) for _, x in got]), np.array([i for _, x in got for i in x], np.int64)
     w, b = fit_linear(hits, rows, y, len(items), s)
     return Model(items, w, b, model, s)
 
