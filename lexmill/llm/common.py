@@ -19,12 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh() -> str:
+    """The start of a column name that no table has."""
+    return f"_{uuid.uuid4().hex[:12]}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and has no other executors."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("lexmill.shared.dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             found = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
             spark.conf.set("lexmill.shared.dir", found)
     return found.rstrip("/")

@@ -5,11 +5,12 @@ one space) and looked up among known licence sentences. The identifiers, in the
 form a sequence in which an unknown sentence is a gap. Licence rules are sequences of identifiers
 that must stand next to each other; they are tried in their order, longer and more special ones
 first, and what a rule has matched is not offered to later rules. Everything happens within the row,
-so nothing is shuffled. Only texts that hold a trigger word are cut; each rule needs a sentence with
-one, so no match is lost.
+so nothing is shuffled. Only texts that hold a trigger word are cut; each known sentence has one, so no match
+is lost. Lines that go on a sentence are joined, also behind comment marks; sentences that hold a colon or
+semicolon are known by their parts; numbers of list items are no sentences.
 
 Nulls and empty texts have no sentences and no licences; repeated rows each get their result; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; very long texts are cut whole; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,20 +46,28 @@ SENTENCES = {
     "apache_see": ["see the license for the specific language governing permissions and limitations under the license"],
     "gpl2_ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
     "gpl3_ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
-    "gpl_free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl_free": ["this program is free software"],
+    "gpl_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl2_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl2_only": ["you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"],
+    "gpl3_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl3_terms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl2_later": ["either version 2 of the license or at your option any later version"],
     "gpl3_later": ["either version 3 of the license or at your option any later version"],
-    "gpl_warranty": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl_warranty": ["this program is distributed in the hope that it will be useful but without any warranty", "this library is distributed in the hope that it will be useful but without any warranty"],
     "gpl_implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "gpl_see": ["see the gnu general public license for more details"],
+    "gpl_see": ["see the gnu general public license for more details", "see the gnu lesser general public license for more details", "see the gnu affero general public license for more details"],
     "gpl_copy": ["you should have received a copy of the gnu general public license along with this program"],
     "lgpl21_ref": ["licensed under the gnu lesser general public license version 2 1"],
     "lgpl3_ref": ["licensed under the gnu lesser general public license version 3"],
     "agpl3_ref": ["licensed under the gnu affero general public license version 3"],
-    "lgpl_free": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "lgpl_free": ["this library is free software"],
+    "lgpl_terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "lgpl21_terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3_terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "lgpl21_later": ["either version 2 1 of the license or at your option any later version"],
-    "mpl2_ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
-    "mpl2_copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"],
+    "mpl2_ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v", "licensed under the mozilla public license version 2 0"],
+    "mpl2_copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"],
     "epl2_ref": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"],
     "boost_ref": ["distributed under the boost software license version 1 0"],
     "unlicense_free": ["this is free and unencumbered software released into the public domain"],
@@ -77,10 +86,16 @@ RULES = [
     ("MIT", ["mit_grant", "mit_notice", "as_is", "no_liability"]),
     ("MIT", ["mit_grant", "mit_notice"]),
     ("Apache-2.0", ["apache_ref", "apache_comply", "apache_copy"]),
-    ("GPL-2.0-or-later", ["gpl_free", "gpl2_later"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl3_later"]),
-    ("LGPL-2.1-or-later", ["lgpl_free", "lgpl21_later"]),
-    ("LGPL-3.0-or-later", ["lgpl_free", "gpl3_later"]),
+    ("GPL-2.0-or-later", ["gpl_terms", "gpl2_later"]),
+    ("GPL-2.0-or-later", ["gpl2_terms"]),
+    ("GPL-2.0-only", ["gpl2_only"]),
+    ("GPL-3.0-or-later", ["gpl_terms", "gpl3_later"]),
+    ("GPL-3.0-or-later", ["gpl3_terms"]),
+    ("AGPL-3.0-or-later", ["agpl3_terms"]),
+    ("LGPL-2.1-or-later", ["lgpl_terms", "lgpl21_later"]),
+    ("LGPL-2.1-or-later", ["lgpl21_terms"]),
+    ("LGPL-3.0-or-later", ["lgpl_terms", "gpl3_later"]),
+    ("LGPL-3.0-or-later", ["lgpl3_terms"]),
     ("MPL-2.0", ["mpl2_ref", "mpl2_copy"]),
     ("ISC", ["isc_grant", "isc_warranty"]),
     ("0BSD", ["zero_bsd_grant"]),
@@ -95,8 +110,8 @@ RULES = [
     ("Apache", ["apache_title"]),
     ("GPL-2.0-only", ["gpl2_ref"]),
     ("GPL-3.0-only", ["gpl3_ref"]),
-    ("GPL", ["gpl_free"]),
-    ("LGPL", ["lgpl_free"]),
+    ("GPL", ["gpl_terms"]),
+    ("LGPL", ["lgpl_terms"]),
     ("LGPL-2.1-only", ["lgpl21_ref"]),
     ("LGPL-3.0-only", ["lgpl3_ref"]),
     ("AGPL-3.0-only", ["agpl3_ref"]),
@@ -111,10 +126,12 @@ RULES = [
     ("CC-BY-ND-4.0", ["cc_by_nd_ref"]),
     ("CC-BY-4.0", ["cc_by_ref"]),
 ]
-#: Every rule has a sentence with one of these.
-TRIGGERS = ["licen", "copyright", "permission", "warrant", "public domain", "redistribut"]
+#: Every known sentence has one of these.
+TRIGGERS = ["licen", "copyright", "permission", "warrant", "domain", "redistribut", "software", "mozilla"]
 
 BREAK = r"[.!?;:]+(\s+|$)|\n+"
+#: A line that goes on with these is a part of the sentence before it; comment marks stand aside.
+GOES_ON = r"\n[ \t]*[#*/]*[ \t]*([a-z(\"]|[A-Z][A-Z]|(?:License|Lesser|General|Public|Software|Foundation)[ .,;])"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -124,21 +141,21 @@ def _pattern(ids: list[str]) -> str:
 
 def scan(docs: DataFrame, sentences: dict[str, list[str]] = SENTENCES, rules=RULES, triggers=TRIGGERS) -> DataFrame:
     """Every row's doc_id with ``sentence_ids`` (array, in order), ``licences`` (array, in rule order) and ``n_sentences``."""
-    for name, ids in rules:
-        if not any(all(any(t in s for t in triggers) for s in sentences[i]) for i in ids):
-            raise ValueError(f"no sentence of the rule for {name} holds a trigger word")
+    for i, ss in sentences.items():
+        if not all(any(t in s for t in triggers) for s in ss):
+            raise ValueError(f"a sentence of {i} holds no trigger word")
     known = F.create_map(*[F.lit(x) for i, ss in sentences.items() for s in ss for x in (s, i)])
     d = docs.select("doc_id", empty_text().alias("_t"))
     hit = F.lit(False)
     for t in triggers:
         hit = hit | F.contains(F.col("_low"), F.lit(t))
-    d = d.withColumn("_low", F.translate(F.when(F.col("_t").rlike("[Ll][Ii][Cc][Ee][Nn]|[Cc][Oo][Pp][Yy][Rr]|[Pp][Ee][Rr][Mm][Ii]|[Ww][Aa][Rr][Rr]|[Dd][Oo][Mm][Aa][Ii]|[Rr][Ee][Dd][Ii][Ss]"), F.col("_t")).otherwise(F.lit("")), UPPER, LOWER))
-    # a line that goes on in lower case is joined to the one before; then sentences end at marks and line ends
-    joined = F.regexp_replace(F.col("_t"), r"\n([a-z(\"])", " $1")
+    d = d.withColumn("_low", F.translate(F.when(F.col("_t").rlike("[Ll][Ii][Cc][Ee][Nn]|[Cc][Oo][Pp][Yy][Rr]|[Pp][Ee][Rr][Mm][Ii]|[Ww][Aa][Rr][Rr]|[Dd][Oo][Mm][Aa][Ii]|[Rr][Ee][Dd][Ii][Ss]|[Ss][Oo][Ff][Tt][Ww]|[Mm][Oo][Zz][Ii]"), F.col("_t")).otherwise(F.lit("")), UPPER, LOWER))
+    # sentences end at marks and line ends
+    joined = F.regexp_replace(F.col("_t"), GOES_ON, " $1")
     cut = F.when(hit, F.split(joined, BREAK)).otherwise(F.array().cast("array<string>"))
     d = d.select("doc_id", cut.alias("_s"))
     plain = lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
-    d = d.withColumn("_s", F.filter(F.transform("_s", plain), lambda s: s != ""))
+    d = d.withColumn("_s", F.filter(F.transform("_s", plain), lambda s: ~s.rlike("^([0-9]*|[a-z])$")))
     d = d.select("doc_id", F.size("_s").cast("long").alias("n_sentences"), F.transform("_s", lambda s: F.try_element_at(known, s)).alias("_i"))
     d = d.withColumn("sentence_ids", F.array_compact("_i"))
     marks = F.when(F.size("sentence_ids") > 0, F.array_join(F.transform("_i", lambda i: F.when(i.isNull(), ".").otherwise(F.concat(F.lit("<"), i, F.lit(">")))), "")).otherwise("")
@@ -172,8 +189,8 @@ def _sql() -> str:
     gate = " or ".join(f"contains(translate(t,'{UPPER}','{LOWER}'),'{t}')" for t in TRIGGERS)
     return rf"""
 with d as (select row_number() over () rid,doc_id,coalesce(text,'') t from documents)
-, s as (select doc_id,rid,list_filter(list_transform(case when {gate} then regexp_split_to_array(regexp_replace(t,'\n([a-z("])',' \1','g'),'[.!?;:]+(?:\s+|$)|\n+') else []::varchar[] end,
-   lambda x: trim(regexp_replace(translate(x,'{UPPER}','{LOWER}'),'[^a-z0-9]+',' ','g'))),lambda x: x<>'') s from d)
+, s as (select doc_id,rid,list_filter(list_transform(case when {gate} then regexp_split_to_array(regexp_replace(t,'{GOES_ON}',' \1','g'),'[.!?;:]+(?:\s+|$)|\n+') else []::varchar[] end,
+   lambda x: trim(regexp_replace(translate(x,'{UPPER}','{LOWER}'),'[^a-z0-9]+',' ','g'))),lambda x: not regexp_full_match(x,'[0-9]*|[a-z]')) s from d)
 , i as (select doc_id,rid,list_transform(s,lambda x: (map {{{known}}})[x]) i from s)
 , k as (select doc_id,rid,i,array_to_string(list_transform(i,lambda x: case when x is null then '.' else '<'||x||'>' end),'') m,[]::varchar[] f from i){steps}
 select doc_id,len(list_filter(i,lambda x: x is not null))::bigint n_known,coalesce(array_to_string(list_filter(i,lambda x: x is not null),','),'') sentence_ids,coalesce(array_to_string(f,','),'') licences from {last}"""

@@ -9,7 +9,8 @@ only positions travel to the documents again.
 
 Nulls: a null text has no lines and comes back as an empty text; null ids are one id of their own.
 Texts with fewer than three lines never change. Rows alike in doc_id and text share their fate and all
-stay; rows of one doc_id with different texts are kept apart. Other columns pass through unchanged.
+stay; rows of one doc_id with different texts are kept apart. Very long texts are cut whole, within their row. Other
+columns pass through unchanged, whatever their names; ``n_lines`` and ``n_removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, empty_text, table
+from .common import Scratch, empty_text, fresh, table
 
 EDGE = " \t\x0b\x0c\r"
 
@@ -56,20 +57,18 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with cleaned ``text``, and ``n_lines`` and ``n_removed`` beside its columns."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = scratch.write(covered(docs, scratch)).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "gone").hint("merge")
+    own, key, id_, gone, lines, stay = (fresh() for _ in range(6))  # columns of ``docs`` may have any name
+    away = scratch.write(covered(docs, scratch)).select(F.col("doc_id").alias(id_), F.col("_h").alias(key), F.col("gone").alias(gone)).hint("merge")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    d = docs.select(*names).withColumn("text", empty_text()).withColumn("_h", F.xxhash64("text"))
-    d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k")), "left")
-    d = d.withColumn("_lines", F.split("text", "\n"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    d = d.withColumn("_left", left)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform("_left", lambda i: F.get(F.col("_lines"), i)), "\n")
-    )
+    d = docs.select(*names).withColumn("text", empty_text()).withColumn(own, F.xxhash64("text"))
+    d = d.join(away, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(key)), "left")
+    d = d.withColumn(lines, F.split("text", "\n"))
+    d = d.withColumn(stay, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
     return d.select(
         *[text.alias("text") if c == "text" else c for c in names],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -15,7 +15,8 @@ documents are selected by comparing keys with it: texts are never shuffled.
 
 Nulls: a null level is a branch of its own, a null text has no tokens, null ids share one place in the
 order. Rows of one id in one leaf stand at one place and are taken together; texts without tokens
-take part and cost nothing; an empty table gives an empty mix. Columns are passed on as they are.
+take part and cost nothing, very long ones cost all their tokens; an empty table gives an empty mix. Columns are
+passed on as they are, whatever their names; only a column ``epoch`` is replaced by the epoch that took the row.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, empty_text, table, words_of
+from .common import Scratch, empty_text, fresh, table, words_of
 
 
 @dataclass(frozen=True)
@@ -127,11 +128,12 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), extra: dict[str, Column] | None = N
     leaf, extra = list(mix.levels), extra or {}
     level = lambda k: (extra[k] if k in extra else F.col(k)).cast("string")
     items = docs.select(*[level(k).alias(k) for k in leaf], "doc_id", F.size(words_of(empty_text())).cast("long").alias("n"))
-    c = cuts(scratch.write(items), mix, scratch).select(*[F.col(k).alias(f"_{k}_c") for k in leaf], F.col("epoch").alias("_epoch"), "cut")
-    on = order_key(mix.seed, F.col("_epoch")) <= F.col("cut")
+    x = fresh()  # columns of ``docs`` may have any name
+    c = cuts(scratch.write(items), mix, scratch).select(*[F.col(k).alias(f"{x}_{k}") for k in leaf], F.col("epoch").alias(f"{x}epoch"), F.col("cut").alias(f"{x}cut"))
+    on = order_key(mix.seed, F.col(f"{x}epoch")) <= F.col(f"{x}cut")
     for k in leaf:
-        on = on & level(k).eqNullSafe(F.col(f"_{k}_c"))
-    return docs.drop("epoch").join(c, on).drop("cut", *[f"_{k}_c" for k in leaf]).withColumnRenamed("_epoch", "epoch")
+        on = on & level(k).eqNullSafe(F.col(f"{x}_{k}"))
+    return docs.drop("epoch").join(c, on).drop(f"{x}cut", *[f"{x}_{k}" for k in leaf]).withColumnRenamed(f"{x}epoch", "epoch")
 
 
 def domain() -> Column:

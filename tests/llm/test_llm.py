@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import license_scan, line_dedup, minhash_dedup, mixing, ppm_lm, quality_rules, registry, sentencepiece_codec, suffix_dedup, topk_search, toxicity
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n string, key string, sid int, epoch int, score string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n string, key string, sid int, epoch int, score string, cut int, gone int, _lines int, _left int, _h int, _id int, _epoch int, term int, th int"
 
 
 def docs_of(spark, texts, ids=None):
-    rows = [(i if ids is None else ids[i], t, "en" if i % 2 else None, f"src{i % 3}", 0, "n", "k", 1, 2, "s") for i, t in enumerate(texts)]
+    rows = [(i if ids is None else ids[i], t, "en" if i % 2 else None, f"src{i % 3}", 0, "n", "k", 1, 2, "s", *range(9)) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -111,6 +111,114 @@ def test_licence_order(spark):
     assert r.sentence_ids == ["mit_title", "mit_grant", "mit_notice", "cc_by_sa_ref"] and r.licences == ["MIT", "CC-BY-SA-4.0"]
 
 
+GPL = """This program is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{mark2} either version {v} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+NOTICES = {
+    "GPL-3.0-or-later": (GPL.format(mark=":", mark2=",", v=3), ["gpl_free", "gpl3_terms", "gpl_warranty", "gpl_implied", "gpl_see"]),
+    "GPL-2.0-or-later": (GPL.format(mark=";", mark2=";", v=2), ["gpl_free", "gpl_terms", "gpl2_later", "gpl_warranty", "gpl_implied", "gpl_see"]),
+    "LGPL-2.1-or-later": (
+        """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+        ["lgpl_free", "lgpl_terms", "lgpl21_later", "gpl_warranty", "gpl_implied", "gpl_see"],
+    ),
+    "MIT": (
+        """MIT License
+
+Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+        ["mit_title", "mit_grant", "mit_notice", "as_is", "no_liability"],
+    ),
+    "BSD-3-Clause": (
+        """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+        ["bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse"],
+    ),
+    "ISC": (
+        """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS.""",
+        ["isc_grant", "isc_warranty"],
+    ),
+    "Apache-2.0": (
+        """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+        ["apache_ref", "apache_comply", "apache_copy", "apache_unless", "apache_see"],
+    ),
+    "MPL-2.0": (
+        """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        ["mpl2_ref", "mpl2_copy"],
+    ),
+}
+
+
+def test_standard_notices_plain_and_commented(spark):
+    texts, want = [], []
+    for name, (t, ids) in NOTICES.items():
+        for lead in ("", " * ", "// ", "# "):
+            texts.append("\n".join((lead + x).rstrip() for x in t.split("\n")))
+            want.append((ids, [name]))
+    got = {x.doc_id: (x.sentence_ids, x.licences) for x in license_scan.scan(docs_of(spark, texts)).collect()}
+    for i, w in enumerate(want):
+        assert got[i] == w, texts[i]
+
+
 def copies(r, base, n, rate):
     out = []
     for _ in range(n):
