@@ -6,6 +6,10 @@ next stage's ``docs``. All but the last return the columns of ``documents``; ``n
 Rows alike in id and text are one document and share its fate in the near-duplicate stage. Texts that
 line dedup empties stay as empty texts. The mix passes on as many tokens as it gets, so what a large
 source loses, small ones make up for with a second epoch; rows of a second epoch repeat.
+
+Null texts are empty, null ids stay (in the near-duplicate stage where their group has no other id), very long texts
+are taken whole, ties end as the operators say. Columns beside those of ``documents`` travel as far as the mix,
+whatever their names. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import line_dedup, minhash_dedup, mixing, sentencepiece_codec, toxicity
-from lexmill.llm.common import Scratch, empty_text, table
+from lexmill.llm.common import Scratch, empty_text, fresh, table
 
 
 def toxic_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +34,11 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash_dedup.near_duplicates(docs)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    d = docs.withColumn("_h", F.xxhash64(empty_text()))
-    d = d.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    found = minhash_dedup.near_duplicates(docs, minhash_dedup.Setting(words=4))  # as op10 does
+    own, id_, th = fresh(), fresh(), fresh()
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct()
+    d = docs.withColumn(own, F.xxhash64(empty_text()))
+    d = d.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(th)), "left_semi")
     return d.select(*docs.columns)
 
 
@@ -55,7 +60,7 @@ STAGES = [
     ("sentencepiece", encoded),
 ]
 
-#: Training a label model and verifying similar texts have no SQL; tests hold run() against a brute-force version.
+#: Training a label model and verifying similar texts have no SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
