@@ -145,5 +145,5 @@ def test_odd_rows_and_empty_tables(spark, tmp_path, empty):
     rows = [(None, None, None, None, None, 1, 1), (1, "", "en", "a", 0, 1, 1), (2, "a b c d e", "en", "a", 9, 1, 1), (2, "a b c d e", "en", "a", 9, 1, 1), (None, "f g h i j", "en", None, 9, 1, 1)]
     top = write(spark, f"file://{tmp_path}/in", [] if empty else rows, [] if empty else [(2, 1, 0), (None, None, 1)])
     got = corpus_pipeline.run(spark, top)
-    assert sorted(str(x.doc_id) for x in got.select("doc_id").distinct().collect()) == ([] if empty else ["1", "2", "None"])
+    assert sorted(str(x.doc_id) for x in got.select("doc_id").distinct().collect()) == ([] if empty else ["2", "None"])  # 1 has no words and stands behind the end of its leaf's prefix
     assert got.filter(~F.col("round_trip")).count() == 0
