@@ -2,17 +2,17 @@
 
 A text is one stream of bytes: its words, with A-Z lowered, a space after each, and a line feed as its end.
 Every byte is coded from the ``order`` bytes before it, across words; before the first byte stand line feeds.
-Method C estimates escapes (a context of T occurrences and q distinct successors gives n / (T + q) and
-escapes with q / (T + q)), and what a longer context could have coded is excluded from the shorter ones.
+Method D estimates escapes (a context of T occurrences and q distinct successors gives (n - 1/2) / T and
+escapes with q / 2T), and what a longer context could have coded is excluded from the shorter ones.
 Counts are of all occurrences in all training rows, exact; no context or successor is dropped.
 
 A byte's chance depends on it and the ``order`` bytes before it alone, a gram. Blocks of about 4 MB of text
 send their distinct grams, packed, to shards by the last three bytes of the context, so a shard has all
 contexts of three bytes and more that its grams need; the shorter ones (bounded by the alphabet) are shared.
 Each shard counts, then answers the blocks, which look their grams' chances up. The number of shards grows
-with the grams. Base scores are of words: each block asks once for each of its words.
+with the grams. A block is coded some 100000 words at a time, so that a task holds its distinct grams and little else. Base scores are of words: each block asks once for each of its words.
 
-Nulls and empty texts hold the end alone. Null ids count as the empty text in the split. Rows alike
+Nulls and empty texts hold the end alone; very long texts are blocks of their own. Null ids count as the empty text in the split. Rows alike
 get the same scores. Without training rows every byte is equally likely. Other columns are ignored.
 """
 
@@ -33,8 +33,8 @@ from .common import LOWER, M1, Scratch, crc_mod, empty_text, flat, mix, pieces,
 @dataclass(frozen=True)
 class Setting:
     order: int = 6  # at most 7: a gram is one number of 64 bits
-    contexts: int = 1 << 22  # grams sent to one shard, about; none is dropped
-    types_a_task: int = 400_000
+    contexts: int = 1 << 21  # grams sent to one shard, about; none is dropped
+    words: int = 100_000  # of a block, coded at a time
     block: int = 4 << 20
 
 
@@ -158,9 +158,9 @@ def chances(g: np.ndarray, levels: list[Level]) -> np.ndarray:
         ca, seen = _find(lv.ctx, (g[live] & _mask(k)) >> U8)
         t, q = (lv.total[ca] - less[live], lv.distinct[ca] - fewer[live]) if len(lv.ctx) else (np.zeros(len(live)),) * 2
         hit = live[ok]
-        log[hit] += np.log10(lv.n[at[ok]] / (t + q)[ok])
+        log[hit] += np.log10((lv.n[at[ok]] - 0.5) / t[ok])
         out = seen & ~ok & (q > 0)  # otherwise all successors are excluded, and the escape is certain
-        log[live[out]] += np.log10(q[out] / (t + q)[out])
+        log[live[out]] += np.log10(q[out] / 2 / t[out])
         out = seen & ~ok
         less[live[out]], fewer[live[out]] = lv.less[ca[out]], lv.distinct[ca[out]]
         live = live[~ok]
@@ -195,16 +195,32 @@ def _shards(g: np.ndarray, order: int, n: int) -> np.ndarray:
     return (mix((g >> U8 & _mask(min(LOW, order - 1))) * M1) % np.uint64(n)).astype(np.int64)
 
 
-def _coded(codes, large, toks, n, order: int, shards: int):
-    """Grams of a block: distinct ones by shard and value, which of them each byte is, the bytes' texts, and shards."""
-    g, row = grams(toks, _numbers(codes, large), n, order)
+def _parts(code: np.ndarray, toks: pa.Array, n: np.ndarray, order: int, size: int):
+    """Of the texts of a block, about ``size`` words at a time: the first text and the one past the last, grams and texts."""
+    ends = np.cumsum(n)
+    at, word = 0, 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, word + size, side="right")))
+        g, row = grams(toks, code[word : ends[to - 1]], n[at:to], order)
+        yield at, to, g, row
+        at, word = to, int(ends[to - 1])
+
+
+def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = pa.array(g).dictionary_encode()
-    types, code = d.dictionary.to_numpy(), d.indices.to_numpy()
-    shard = _shards(types, order, shards)
-    by = np.lexsort((types, shard))
-    rank = np.empty(len(by), np.int32)
-    rank[by] = np.arange(len(by), dtype=np.int32)
-    return types[by], rank[code], row, shard[by]
+    return d.dictionary.to_numpy(), d.indices.to_numpy()
+
+
+def _types(code: np.ndarray, toks: pa.Array, n: np.ndarray, held: np.ndarray, s: "Setting", shards: int):
+    """The distinct grams of a block by shard and value, their counts in training texts, and the shards."""
+    seen, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at, _, g, row in _parts(code, toks, n, s.order, s.words):
+        g, inverse = _distinct(g)
+        seen.append(g), count.append(np.bincount(inverse[~held[at + row]], minlength=len(g)))
+    seen, count = _sum(np.concatenate(seen), np.concatenate(count))
+    shard = _shards(seen, s.order, shards)
+    by = np.argsort(shard, kind="stable")
+    return seen[by], count[by], shard[by]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -227,16 +243,16 @@ def _unpack_grams(x: bytes) -> np.ndarray:
     return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
 
 
-def _sent(blocks: DataFrame, order: int, shards: int) -> DataFrame:
+def _sent(blocks: DataFrame, s: Setting, shards: int) -> DataFrame:
     """(shard, block, grams, counts): what blocks have of each shard; shard -1: sums of their short contexts."""
+    low = min(LOW, s.order)
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
                 held, n = b.column(4)[r].values.to_numpy(zero_copy_only=False), b.column(5)[r].values.to_numpy()
-                types, code, row, shard = _coded(b.column(1)[r].as_py(), b.column(2)[r].as_py(), b.column(3)[r].values, n, order, shards)
-                count = np.bincount(code[~held[row]], minlength=len(types))
-                lg, ln = _sum(types[count > 0] & _mask(min(LOW, order)), count[count > 0])
+                types, count, shard = _types(_numbers(b.column(1)[r].as_py(), b.column(2)[r].as_py()), b.column(3)[r].values, n, held, s, shards)
+                lg, ln = _sum(types[count > 0] & _mask(low), count[count > 0])
                 cut = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
                 at = [(int(shard[i]), types[i:j], count[i:j]) for i, j in zip(cut[:-1], cut[1:])] + [(-1, lg, ln)]
                 name = b.column(0)[r].as_py()
@@ -330,7 +346,7 @@ def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
     end = int(vocab.filter(F.col("tok") == F.lit(b"\n")).first()["c"])
     symbols = blocks.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] // 2 * 6  # bytes of text, about
     order, shards = s.order, max(8, -(-symbols // (4 * s.contexts)))  # about a byte in four is new to its block
-    sent = scratch.write(_sent(blocks, order, shards))
+    sent = scratch.write(_sent(blocks, s, shards))
     low = docs.sparkSession.sparkContext.broadcast(_short(sent, order))  # bounded by the alphabet
     answers = scratch.write(_answers(sent, low, order, shards))
     scratch.drop(sent)
@@ -355,8 +371,15 @@ def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
                 l = b.column(8)[r].values
                 told_by = pc.struct_field(l, "lp").take(pa.array(np.unique(pc.struct_field(l, "shard").to_numpy(), return_index=True)[1]))  # blocks alike share answers
                 lp = np.concatenate([_unpack(x, np.float32) for x in told_by.to_pylist()])
-                _, which, text, _ = _coded(b.column(4)[r].as_py(), b.column(5)[r].as_py(), b.column(6)[r].values, n, order, shards)
-                score = np.bincount(text, lp[which], len(n))
+                toks, held_ = b.column(6)[r].values, b.column(2)[r].values.to_numpy(zero_copy_only=False)
+                types, _, _ = _types(code, toks, n, held_, s, shards)
+                by_value = np.argsort(types)
+                types, lp = types[by_value], lp[by_value]
+                score = []
+                for at, to, g, text in _parts(code, toks, n, order, s.words):
+                    g, inverse = _distinct(g)
+                    score.append(np.bincount(text, lp[np.searchsorted(types, g)][inverse], to - at))
+                score = np.concatenate(score)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(1)[r].values, b.column(2)[r].values, pa.array(n + 1), pa.array((by((c > 0).astype(float)) + (end > 0)).astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

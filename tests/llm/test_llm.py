@@ -336,10 +336,10 @@ def brute_ppm(train, texts, order):
             c = {x: n for x, n in seen.get(ctx[order - k :], {}).items() if x not in out}
             if not c:
                 continue
-            whole = sum(c.values()) + len(c)
+            whole = sum(c.values())
             if b in c:
-                return p * c[b] / whole
-            p, out = p * len(c) / whole, out | set(c)
+                return p * (c[b] - 0.5) / whole
+            p, out = p * len(c) / 2 / whole, out | set(c)
         return p / (256 - len(out))
 
     return [sum(log10(chance(s[i - order : i], s[i])) for i in range(order, len(s))) for s in map(stream, texts)]
@@ -351,7 +351,7 @@ def test_ppm_against_brute_force_across_words(spark, order):
     vocab = ["the", "cat", "sat", "on", "mat", "Über", "naïve", *("w%d" % r.randrange(99) for _ in range(30))]
     texts = [" ".join(r.choices(vocab, k=r.randrange(25))) for _ in range(60)] + ["", None, "the cat sat on", "on sat cat the", "qqq ~ \x7f"]
     out = {60, 62, 63, 64, *range(0, 60, 5)}
-    got = {x.doc_id: x.score for x in ppm_lm.scores(docs_of(spark, texts), F.col("doc_id").isin(list(out)), ppm_lm.Setting(order=order, block=400)).collect()}
+    got = {x.doc_id: x.score for x in ppm_lm.scores(docs_of(spark, texts), F.col("doc_id").isin(list(out)), ppm_lm.Setting(order=order, block=400, words=7)).collect()}
     want = brute_ppm([t for i, t in enumerate(texts) if i not in out], texts, order)
     for i in range(len(texts)):
         assert got[i] == pytest.approx(want[i], rel=1e-5), i
