@@ -5,24 +5,26 @@ matches stay within texts, and overlaps count.
 
 1. Anchors: of each ``length - k + 1`` consecutive windows of k bytes the one with the least hash (the first of
    equal ones) is an anchor, so two equal strings of ``length`` bytes choose the same anchor at the same place,
-   and each string chooses one.
-2. Anchors are counted; only those that occur more than once are followed. The context of an anchor, the bytes of
-   the strings that chose it, is cut from its text. Equal contexts of an anchor are one, with their number.
-3. Index: the contexts of anchors are laid out in blocks of at most ``block`` bytes. Each block gets its
-   suffix order, from it the Burrows-Wheeler transform as runs, with the text positions at the ends of runs
-   and the length of what the suffixes on either side of a run's border share.
-4. Matching statistics: a text position matches as far as the sample before it does, less the bytes between; streamed
-   over the block this gives every position's longest match elsewhere. (A match that can't be extended to the
-   left stands at a border of runs.) Matches of ``length`` and more are marked; contexts that occurred more than
-   once are marked in full.
-5. An anchor with more contexts than a block holds has several blocks. Strings of ``length`` bytes that are still
-   unmarked there, and one copy of the others, are counted by 128 bits of hash over the blocks, and marked
-   if another block has them. That is exact, and no task sees the whole anchor.
+   and each string chooses one. The context of an anchor is the bytes of the strings that chose it; it travels
+   as 64 bits of hash, and no text is shuffled yet.
+2. Contexts are counted. One that occurs more than once is a repeat in full. Of an anchor with several contexts
+   the bytes of one occurrence of each are cut from their texts, as others may repeat a part of them.
+3. Index: contexts are dealt to blocks of about ``block`` bytes; an anchor with more has several blocks, and small
+   anchors share one. Blocks stream through their tasks, so neither a row nor a task holds more than one. The
+   contexts of an anchor get their suffix order, from it the Burrows-Wheeler transform as runs, with the text
+   positions at the ends of runs and the length of what the suffixes on either side of a run's border share.
+4. Matching statistics: inside a run all suffixes are preceded by one symbol, so a match that can't be extended to the
+   left stands at a border of runs, where its length is sampled. A text position matches as far as the sample before
+   it does, less the bytes between; streamed over the contexts this gives every position's longest match elsewhere.
+   Matches of ``length`` and more are marked.
+5. The strings of ``length`` bytes of an anchor with several blocks are also counted by 128 bits of hash over
+   the blocks, and marked if another block has them. That is exact, and no task sees the whole anchor.
 6. Marks go back to the texts, are merged, and cut out.
 
 Nulls are empty texts. Texts shorter than ``length`` never change. Rows are told apart by doc_id and text: rows alike in both
-count as repetitions of each other (both lose what they share) and null ids are one id. An empty table gives
-an empty result; other columns pass through.
+count as repetitions of each other (both lose what they share) and null ids are one id. Very long texts are taken
+whole. Which occurrence lends its bytes to the index (the least) changes no result. An empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +44,7 @@ from .common import Scratch, empty_text, flat, hash_spans, mix, pieces, table
 class Setting:
     length: int = 400
     k: int = 200
-    block: int = 1 << 20
-    contexts: int = 1024
+    block: int = 1 << 19
 
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,26 +57,38 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def window_hashes(buf: np.ndarray, k: int) -> np.ndarray:
-    """A mixed hash of each window of k bytes."""
-    n = len(buf)
+def _sums(buf: np.ndarray) -> np.ndarray:
+    """Sums from which any span's hash follows."""
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(buf)), out=total[1:])
+    return total
+
+
+def window_hashes(total: np.ndarray, k: int) -> np.ndarray:
+    """A mixed hash of each window of k bytes, from _sums."""
+    n = len(total) - 1
     if n < k:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=total[1:])
     h = total[k:] - total[:-k]
     h *= _powers(INVERSE, n)[: n - k + 1]
     return mix(h)
 
 
+def _span_hashes(total: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of each span, its length included."""
+    h = (total[hi] - total[lo]) * _powers(INVERSE, len(total))[lo]
+    return mix(h ^ mix((hi - lo).astype(np.uint64) * BASE))
+
+
 def anchors(buf: np.ndarray, offsets: np.ndarray, s: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the anchors of all texts in ``buf``: hashes, places, and the first and last start of the strings that chose them."""
+    """Of the anchors of all texts in ``buf``: hashes, hashes of their contexts, and where these start and end."""
     n, w = len(buf), s.length - s.k + 1
-    h = window_hashes(buf, s.k)
+    total = _sums(buf)
+    h = window_hashes(total, s.k)
     m = len(h)
     none = np.zeros(0, np.int64)
     if m < w:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
     bits = np.uint64(max(int(m).bit_length(), 1))
     key = ((h >> bits) << bits) | np.arange(m, dtype=np.uint64)
     # windows over the end of a text never win
@@ -101,52 +114,49 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, s: Setting) -> tuple[np.ndarra
     ok = np.cumsum(start_ok)[: len(least)] > 0
     starts = np.flatnonzero(ok)
     if not len(starts):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
     chosen = least[starts]
     new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = np.flatnonzero(new)
     final = np.append(first[1:], len(starts)) - 1
     at = (chosen[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    return h[at], at, starts[first], starts[final]
+    lo, hi = starts[first], starts[final] + s.length
+    return h[at], _span_hashes(total, lo, hi), lo, hi
 
 
 def _anchor_rows(docs: DataFrame, s: Setting) -> DataFrame:
-    """(doc_id, th, f, lo, hi): the anchors of every text, and the range of bytes of the strings that chose them."""
+    """(doc_id, th, f, ch, lo, hi): the anchors of every text with the hash and the range of their contexts."""
 
     def run(batches):
         for b in pieces(batches, 4 << 20):
             buf, off = flat(b.column(2))
-            h, at, lo, hi = anchors(buf, off, s)
-            row = np.searchsorted(off, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(lo - off[row]), pa.array(hi + s.length - off[row])], names=["doc_id", "th", "f", "lo", "hi"])
+            f, ch, lo, hi = anchors(buf, off, s)
+            row = np.searchsorted(off, lo, side="right") - 1
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(f.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(lo - off[row]), pa.array(hi - off[row])], names=["doc_id", "th", "f", "ch", "lo", "hi"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th long, f long, lo long, hi long")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {kind}, th long, f long, ch long, lo long, hi long")
 
 
-def _contexts(docs: DataFrame, hot: DataFrame, s: Setting) -> DataFrame:
-    """(doc_id, th, f, start, ch, body) of the followed anchors; ``ch`` is a hash of ``body``."""
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (doc_id, th, f, lo, hi, blk, wide, once) with the bytes of each range: ``body``."""
+    own = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("f", "lo", "hi", "blk", "wide", "once")).alias("a"))
+    j = docs.select("doc_id", "th", "text").join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("doc_id", "th", "text", "a")
 
     def run(batches):
         for b in pieces(batches, 4 << 20):
             buf, off = flat(b.column(2))
             lists = b.column(3)
-            n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b.num_rows), n)
-            inner = lists.flatten()
-            lo = inner.field("lo").to_numpy(zero_copy_only=False) + off[row]
-            hi = inner.field("hi").to_numpy(zero_copy_only=False) + off[row]
-            body = pa.array([buf[x:y].tobytes() for x, y in zip(lo, hi, strict=True)], pa.binary())
-            ch = hash_spans(buf, lo, hi, 5) if len(lo) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), inner.field("f"), pa.array(lo - off[row]), pa.array(ch.view(np.int64)), body],
-                names=["doc_id", "th", "f", "start", "ch", "body"],
-            )
+            row = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            x = lists.flatten()
+            lo, hi = (x.field(c).to_numpy(zero_copy_only=False) + off[row] for c in ("lo", "hi"))
+            body = pa.array([buf[i:j].tobytes() for i, j in zip(lo, hi, strict=True)], pa.binary())
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *[x.field(c) for c in ("f", "lo", "blk", "wide", "once")], body], names=["doc_id", "th", "f", "lo", "blk", "wide", "once", "body"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    of = hot.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "a").hint("merge")
-    j = docs.select("doc_id", "th", "text").join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    return j.select("doc_id", "th", "text", "a").mapInArrow(run, f"doc_id {kind}, th long, f long, start long, ch long, body binary")
+    return j.mapInArrow(run, f"doc_id {kind}, th long, f long, lo long, blk long, wide boolean, once boolean, body binary")
 
 
 # --- the index of a block ------------------------------------------------------------------------
@@ -187,10 +197,8 @@ def suffix_array(text: np.ndarray, last: np.ndarray, depth: int) -> np.ndarray:
 
 @dataclass
 class RunIndex:
-    """A run-length compressed transform: ``head`` symbol and first rank of each run, samples at the ends of runs."""
+    """A run-length compressed transform: text positions at the ends of runs, and what the suffixes at each border share."""
 
-    head: np.ndarray
-    start: np.ndarray
     first: np.ndarray
     final: np.ndarray
     shared: np.ndarray
@@ -220,7 +228,7 @@ def run_index(text: np.ndarray, starts: np.ndarray, last: np.ndarray, depth: int
     start = np.concatenate([[0], border])
     final = np.concatenate([border - 1, [len(order) - 1]])
     shared = lce(text, last, order[border - 1], order[border])
-    return RunIndex(before[start], start, order[start], order[final], shared)
+    return RunIndex(order[start], order[final], shared)
 
 
 def matching_statistics(index: RunIndex, n: int) -> np.ndarray:
@@ -231,19 +239,14 @@ def matching_statistics(index: RunIndex, n: int) -> np.ndarray:
     return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
 
 
-def marked(bodies: list[bytes], many: np.ndarray, s: Setting) -> list[np.ndarray]:
+def marked(bodies: list[bytes], s: Setting) -> list[np.ndarray]:
     """For each context the starts of its strings of ``length`` bytes that occur elsewhere."""
     size = np.array([len(b) for b in bodies])
     text = np.frombuffer(b"".join(bodies), np.uint8)
     ends = np.cumsum(size)
     starts = ends - size
-    last = np.repeat(ends, size)
-    reach = matching_statistics(run_index(text, starts, last, int(size.max())), len(text))
-    out = []
-    for a, z, m in zip(starts, ends, many, strict=True):
-        full = z - a - s.length + 1
-        out.append(np.arange(max(full, 0)) if m > 1 else np.flatnonzero(reach[a : a + max(full, 0)] >= s.length))
-    return out
+    reach = matching_statistics(run_index(text, starts, np.repeat(ends, size), int(size.max())), len(text))
+    return [np.flatnonzero(reach[a : z - s.length + 1] >= s.length) for a, z in zip(starts, ends, strict=True)]
 
 
 def _spans(at: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -258,80 +261,84 @@ def _spans(at: np.ndarray, length: int) -> list[tuple[int, int]]:
 SPAN = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))
 
 
-def _mark_blocks(blocks: DataFrame, s: Setting) -> tuple[DataFrame, DataFrame]:
-    """``blocks`` (blk, wide, items) to (f, ch, spans), and of wide anchors (f, ch, at, h1, h2, known) per string."""
+def _mark(bodies: DataFrame, s: Setting, tasks: int) -> DataFrame:
+    """(doc_id, th, a, z, h1, h2): ranges of bytes that repeat, and for anchors with several blocks their other strings by hash.
+
+    A string without a range to mark (of a context that is marked in full) has null for ``a``.
+    """
+    kind = bodies.schema["doc_id"].dataType.simpleString()
+
+    def mark(own: list[tuple], ids: pa.DataType):
+        out: dict[str, list] = {k: [] for k in ("doc_id", "th", "a", "z", "h1", "h2")}
+        if len(own) > 1 or own[0][4]:
+            got = marked([x[6] for x in own], s)
+            for (doc, th, _, lo, wide, once, body), g in zip(own, got, strict=True):
+                spans = _spans(g, s.length) if once else []
+                n = len(spans)
+                out["doc_id"] += [doc] * n
+                out["th"] += [th] * n
+                out["a"] += [lo + a for a, _ in spans]
+                out["z"] += [lo + z for _, z in spans]
+                out["h1"] += [None] * n
+                out["h2"] += [None] * n
+                if wide:
+                    p = np.arange(len(body) - s.length + 1)
+                    buf = np.frombuffer(body, np.uint8)
+                    free = np.full(len(p), once)
+                    free[g] = False
+                    out["doc_id"] += [doc] * len(p)
+                    out["th"] += [th] * len(p)
+                    out["a"] += [lo + i if ok else None for i, ok in enumerate(free.tolist())]
+                    out["z"] += [lo + i + s.length if ok else None for i, ok in enumerate(free.tolist())]
+                    for c, seed in (("h1", 11), ("h2", 12)):
+                        out[c] += hash_spans(buf, p, p + s.length, seed).view(np.int64).tolist()
+        if out["th"]:
+            kinds = (ids, *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    def each(batches):
+    def run(batches):
+        now, own, ids = None, [], None
         for b in batches:
-            for i in range(b.num_rows):
-                x = b.column(2)[i].values
-                bodies = x.field("body").to_pylist()
-                many = x.field("many").to_numpy(zero_copy_only=False)
-                # contexts of different anchors in a block may overlap in their texts: each anchor is indexed for itself
-                f = x.field("f").to_numpy(zero_copy_only=False)
-                order = np.argsort(f, kind="stable")
-                cuts = np.flatnonzero(np.diff(f[order])) + 1
-                for part in np.split(order, cuts):
-                    got = marked([bodies[k] for k in part], many[part], s)
-                    yield b.column(1)[i].as_py(), x, part, bodies, got
-
-    def spans(batches):
-        for _, x, part, _, got in each(batches):
-            keep = [k for k, g in enumerate(got) if len(g)]
-            if keep:
-                idx = pa.array(part[keep])
-                yield pa.RecordBatch.from_arrays([x.field("f").take(idx), x.field("ch").take(idx), pa.array([[{"a": a, "z": z} for a, z in _spans(got[k], s.length)] for k in keep], SPAN)], names=["f", "ch", "spans"])
-
-    def strings(batches):
-        for wide, x, part, bodies, got in each(batches):
-            if not wide:
-                continue
-            f, ch, at, h1, h2, known = [], [], [], [], [], []
-            for k, g in zip(part, got, strict=True):
-                buf = np.frombuffer(bodies[k], np.uint8)
-                p = np.arange(max(len(buf) - s.length + 1, 0))
-                mark = np.zeros(len(p), bool)
-                mark[g] = True
-                f += [x.field("f")[int(k)].as_py()] * len(p)
-                ch += [x.field("ch")[int(k)].as_py()] * len(p)
-                at.append(p), known.append(mark)
-                h1.append(hash_spans(buf, p, p + s.length, 11).view(np.int64)), h2.append(hash_spans(buf, p, p + s.length, 12).view(np.int64))
-            if at and sum(map(len, at)):
-                cat = np.concatenate
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(ch), pa.array(cat(at)), pa.array(cat(h1)), pa.array(cat(h2)), pa.array(cat(known))], names=["f", "ch", "at", "h1", "h2", "known"])
-
-    done = blocks.mapInArrow(spans, "f long, ch long, spans array<struct<a:long,z:long>>")
-    loose = blocks.filter("wide").mapInArrow(strings, "f long, ch long, at long, h1 long, h2 long, known boolean")
-    return done, loose
+            ids = b.schema.field(0).type
+            for x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if own and x[:2] == own[-1][:2] and x[2:4] == own[-1][2:4] and x[4] == now[0]:
+                    continue  # a row alike in id and text
+                if (x[4], x[2]) != now:
+                    if own:
+                        yield from mark(own, ids)
+                    now, own = (x[4], x[2]), []
+                own.append((x[0], x[1], x[2], x[3], x[5], x[6], x[7]))
+        if own:
+            yield from mark(own, ids)
+
+    dealt = bodies.repartition(tasks, "blk").sortWithinPartitions("blk", "f", "doc_id", "th", "lo")
+    return dealt.mapInArrow(run, f"doc_id {kind}, th long, a long, z long, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, s: Setting, scratch: Scratch) -> DataFrame:
     """(doc_id, th, spans): the ranges of bytes to remove; ``docs``: doc_id, th and text."""
     found = scratch.write(_anchor_rows(docs, s))
-    often = found.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
-    hot = found.join(often.hint("merge"), "f").groupBy("doc_id", "th").agg(F.array_distinct(F.collect_list(F.struct("f", "lo", "hi"))).alias("a"))
-    ctx = scratch.write(_contexts(docs, hot, s))
-    # equal contexts are one; what is left of an anchor with one context is that context's own repetition
-    one = ctx.groupBy("f", "ch").agg(F.count("*").alias("many"), F.first("body").alias("body"))
-    size = ctx.select("f", "ch").distinct().groupBy("f").agg(F.count("*").alias("kinds"))
-    alone = size.filter("kinds = 1").select("f")
-    several = size.filter("kinds > 1")
-    self_ = one.filter("many > 1").join(alone.hint("merge"), "f").select("f", "ch", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.length("body").cast("long").alias("z"))).alias("spans")).filter(F.col("spans")[0]["z"] >= s.length)
-    salt = F.pmod(F.xxhash64("ch"), F.ceil(F.col("kinds") / F.lit(s.contexts)))
-    j = one.join(several.hint("merge"), "f").withColumn("wide", F.col("kinds") > s.contexts)
-    # small anchors share blocks by hash; wide ones are dealt over their own
-    shards = F.lit(max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    blk = F.when(F.col("wide"), F.xxhash64("f", salt)).otherwise(F.pmod(F.xxhash64("f"), shards))
-    blocks = scratch.write(j.groupBy(blk.alias("blk"), "wide").agg(F.collect_list(F.struct("f", "ch", "many", "body")).alias("items")))
-    done, loose = _mark_blocks(blocks, s)
-    loose = scratch.write(loose)
+    place = F.struct("doc_id", "th", "lo", "hi")
+    kinds = scratch.write(found.groupBy("f", "ch").agg(F.count("*").alias("many"), F.min(place).alias("at")))
+    size = F.col("at.hi") - F.col("at.lo")
+    of = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.sum(size).alias("bytes")).filter("kinds > 1")
+    # contexts that repeat are marked where they are
+    full = found.join(kinds.filter("many > 1").select("f", "ch").hint("merge"), ["f", "ch"]).select("doc_id", "th", F.col("lo").alias("a"), F.col("hi").alias("z"))
+    # of anchors with several contexts one occurrence of each; large anchors are dealt over blocks, small ones share
+    parts = F.ceil(F.col("bytes") / F.lit(s.block))
+    j = kinds.join(of.hint("merge"), "f").withColumn("wide", parts > 1)
+    total = j.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // s.block))
+    salt = F.pmod(F.xxhash64("ch"), parts)
+    blk = F.when(F.col("wide"), F.xxhash64("f", salt)).otherwise(F.pmod(F.xxhash64("f"), F.lit(blocks)))
+    wanted = j.select("at.*", "f", blk.alias("blk"), "wide", (F.col("many") == 1).alias("once"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // 4)
+    marks = scratch.write(_mark(_bodies(docs, wanted), s, tasks))
+    loose = marks.filter("h1 is not null")
     again = loose.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    more = loose.filter("not known").join(again.hint("merge"), ["h1", "h2"]).select("f", "ch", F.array(F.struct(F.col("at").alias("a"), (F.col("at") + s.length).alias("z"))).alias("spans"))
-    marks = scratch.write(done.unionByName(self_).unionByName(more))
-    place = ctx.select("doc_id", "th", "f", "ch", "start").join(marks.hint("merge"), ["f", "ch"])
-    shifted = F.transform("spans", lambda x: F.struct((x["a"] + F.col("start")).alias("a"), (x["z"] + F.col("start")).alias("z")))
-    flat_ = place.select("doc_id", "th", F.explode(shifted).alias("x")).select("doc_id", "th", "x.a", "x.z")
-    return flat_.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans"))
+    more = loose.filter("a is not null").join(again.hint("merge"), ["h1", "h2"]).select("doc_id", "th", "a", "z")
+    all_ = full.unionByName(marks.filter("h1 is null").select("doc_id", "th", "a", "z")).unionByName(more)
+    return all_.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("spans"))
 
 
 def merge(spans: list[dict]) -> list[tuple[int, int]]:
@@ -348,7 +355,6 @@ def dedup(docs: DataFrame, s: Setting = Setting()) -> DataFrame:
     """doc_id, ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` (merged), ``kept_sha256`` and ``kept`` (bytes) of every row."""
     scratch = Scratch(docs.sparkSession, "suffix")
     base = docs.select("doc_id", empty_text().alias("text"))
-    # rows alike in id and text are numbered, so that they count as repetitions of each other
     d = base.withColumn("th", F.xxhash64("text"))
     spans = scratch.write(repeated_spans(d, s, scratch)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "spans")
     j = d.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("doc_id", "text", "spans")
@@ -376,4 +382,4 @@ def dedup(docs: DataFrame, s: Setting = Setting()) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "n_bytes", "n_spans", "kept_sha256")

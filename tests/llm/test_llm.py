@@ -252,10 +252,10 @@ def test_minhash_brute_force(spark):
     assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("contexts", [1024, 3])
-def test_suffix_brute_force(spark, contexts):
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_suffix_brute_force(spark, block):
     r = random.Random(5)
-    s = suffix_dedup.Setting(length=40, k=20, contexts=contexts)
+    s = suffix_dedup.Setting(length=40, k=20, block=block)
     new = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
     p, q = new(90), new(45)
     texts = [new(50) + p + new(30), p, new(10) + q + p + q, "a" * 200, new(39), "", None, *[new(r.randrange(60)) + q + new(r.randrange(60)) for _ in range(12)], p[:60]]
