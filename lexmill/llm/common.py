@@ -59,6 +59,7 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # Spark removes shuffle files once the driver has collected what refers to them
 
 
 def empty_text(c: str = "text") -> Column:

@@ -106,10 +106,12 @@ def grams(words: pa.Array, code: np.ndarray, n: np.ndarray, order: int) -> tuple
 
 def _sum(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct grams with their sums."""
-    o = np.argsort(g, kind="stable")
+    if not len(g):
+        return g, n
+    o = np.argsort(g)
     g, n = g[o], n[o]
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    return g[first], np.add.reduceat(n, first) if len(g) else n
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[first], np.add.reduceat(n, first)
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,17 +208,21 @@ def _parts(code: np.ndarray, toks: pa.Array, n: np.ndarray, order: int, size: in
         at, word = to, int(ends[to - 1])
 
 
-def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = pa.array(g).dictionary_encode()
-    return d.dictionary.to_numpy(), d.indices.to_numpy()
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values in sorted ``x`` start."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
 
 def _types(code: np.ndarray, toks: pa.Array, n: np.ndarray, held: np.ndarray, s: "Setting", shards: int):
     """The distinct grams of a block by shard and value, their counts in training texts, and the shards."""
     seen, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for at, _, g, row in _parts(code, toks, n, s.order, s.words):
-        g, inverse = _distinct(g)
-        seen.append(g), count.append(np.bincount(inverse[~held[at + row]], minlength=len(g)))
+        out = held[at + row]
+        for part, one in ((g[~out], 1), (g[out], 0)):
+            if len(part):
+                part = np.sort(part)
+                first = _firsts(part)
+                seen.append(part[first]), count.append(one * np.diff(first, append=len(part)))
     seen, count = _sum(np.concatenate(seen), np.concatenate(count))
     shard = _shards(seen, s.order, shards)
     by = np.argsort(shard, kind="stable")
@@ -239,6 +245,18 @@ def _pack_grams(g: np.ndarray) -> bytes:
     return _pack(np.diff(g, prepend=np.uint64(0)))
 
 
+def _pack_values(x: np.ndarray) -> bytes:
+    """Few distinct values: these, and which of them each is."""
+    u, code = np.unique(x, return_inverse=True)
+    u, code = _pack(u), _pack(code.astype(np.uint32))
+    return len(u).to_bytes(8, "little") + u + code
+
+
+def _unpack_values(x: bytes, kind) -> np.ndarray:
+    z = 8 + int.from_bytes(x[:8], "little")
+    return _unpack(x[8:z], kind)[_unpack(x[z:], np.uint32)]
+
+
 def _unpack_grams(x: bytes) -> np.ndarray:
     return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
 
@@ -313,7 +331,7 @@ def _answers(sent: DataFrame, low, order: int, tasks: int) -> DataFrame:
                 lp = np.zeros(len(g), np.float32)
                 lp[ok] = best[at[ok]]
                 lp[~ok] = chances(g[~ok], levels)
-                out.append((block, shard, _pack(lp)))
+                out.append((block, shard, _pack_values(lp)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["block", "shard", "lp"])
 
     def run(batches):
@@ -370,15 +388,17 @@ def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
                 base = by(np.log10(c + 0.5) - add) + np.log10(end + 0.5) - add
                 l = b.column(8)[r].values
                 told_by = pc.struct_field(l, "lp").take(pa.array(np.unique(pc.struct_field(l, "shard").to_numpy(), return_index=True)[1]))  # blocks alike share answers
-                lp = np.concatenate([_unpack(x, np.float32) for x in told_by.to_pylist()])
+                lp = np.concatenate([_unpack_values(x, np.float32) for x in told_by.to_pylist()])
                 toks, held_ = b.column(6)[r].values, b.column(2)[r].values.to_numpy(zero_copy_only=False)
                 types, _, _ = _types(code, toks, n, held_, s, shards)
                 by_value = np.argsort(types)
                 types, lp = types[by_value], lp[by_value]
                 score = []
                 for at, to, g, text in _parts(code, toks, n, order, s.words):
-                    g, inverse = _distinct(g)
-                    score.append(np.bincount(text, lp[np.searchsorted(types, g)][inverse], to - at))
+                    o = np.argsort(g)
+                    first = _firsts(g[o])
+                    each = np.repeat(lp[np.searchsorted(types, g[o[first]])], np.diff(first, append=len(g)))
+                    score.append(np.bincount(text[o], each, to - at))
                 score = np.concatenate(score)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(1)[r].values, b.column(2)[r].values, pa.array(n + 1), pa.array((by((c > 0).astype(float)) + (end > 0)).astype(np.int64)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(score)],
