@@ -10,7 +10,7 @@ A byte's chance depends on it and the ``order`` bytes before it alone, a gram. B
 send their distinct grams, packed, to shards by the last three bytes of the context, so a shard has all
 contexts of three bytes and more that its grams need; the shorter ones (bounded by the alphabet) are shared.
 Each shard counts, then answers the blocks, which look their grams' chances up. The number of shards grows
-with the grams. A block is coded some 100000 words at a time, so that a task holds its distinct grams and little else. Base scores are of words: each block asks once for each of its words.
+with the grams. Words are counted and answered alike, by 64 bits of hash. A block is coded some 100000 words at a time, so that a task holds its distinct grams and little else.
 
 Nulls and empty texts hold the end alone; very long texts are blocks of their own. Null ids count as the empty text in the split. Rows alike
 get the same scores. Without training rows every byte is equally likely. Other columns are ignored.
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, M1, Scratch, crc_mod, empty_text, flat, mix, pieces, table, word_bounds
+from .common import LOWER, M1, Scratch, crc_mod, empty_text, flat, hash_spans, mix, pieces, table, word_bounds
 
 
 @dataclass(frozen=True)
@@ -257,6 +257,12 @@ def _unpack_values(x: bytes, kind) -> np.ndarray:
     return _unpack(x[8:z], kind)[_unpack(x[z:], np.uint32)]
 
 
+def _by_shard(x: pa.Array, name: str, kind) -> np.ndarray:
+    """The values that a block was sent, in the order of shards; blocks alike share them."""
+    at = np.unique(pc.struct_field(x, "shard").to_numpy(), return_index=True)[1]
+    return np.concatenate([_unpack_values(v, kind) for v in pc.struct_field(x, name).take(pa.array(at)).to_pylist()])
+
+
 def _unpack_grams(x: bytes) -> np.ndarray:
     return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
 
@@ -352,23 +358,79 @@ def _answers(sent: DataFrame, low, order: int, tasks: int) -> DataFrame:
     return sent.filter("shard >= 0").repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "block binary, shard int, lp binary")
 
 
+def _word_hashes(toks: pa.Array, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words by shard and value, their shards, and which word each is."""
+    buf, off = flat(toks)
+    h = hash_spans(buf, off[:-1], off[1:], 3)
+    shard = (mix(h.copy()) % np.uint64(shards)).astype(np.int64)
+    by = np.lexsort((h, shard))
+    return h[by], shard[by], by
+
+
+def _words_sent(blocks: DataFrame, shards: int) -> DataFrame:
+    """(shard, block, words, counts): the distinct words of blocks as hashes, and how often they stand in training rows."""
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                h, shard, by = _word_hashes(b.column(1)[r].values, shards)
+                n = b.column(2)[r].values.to_numpy()[by]
+                cut = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
+                at = list(zip(cut[:-1], cut[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(shard[i]) for i, _ in at], pa.int32()), pa.array([b.column(0)[r].as_py()] * len(at), pa.binary()), pa.array([_pack_grams(h[i:j]) for i, j in at], pa.binary()), pa.array([_pack(n[i:j].astype(np.uint32)) for i, j in at], pa.binary())],
+                    names=["shard", "block", "words", "counts"],
+                )
+
+    return blocks.select("block", "toks", "train").mapInArrow(run, "shard int, block binary, words binary, counts binary")
+
+
+def _words_told(sent: DataFrame, tasks: int) -> DataFrame:
+    """(block, shard, c, total, distinct): the counts of each block's words; the sums of a shard stand in one row without a block."""
+
+    def told(shard, c, asks):
+        h, n = c.done()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([int(n.sum())], pa.int64()), pa.array([len(h)], pa.int64())], names=["block", "shard", "c", "total", "distinct"])
+        for i in range(0, len(asks), 64):
+            some, out = asks[i : i + 64], []
+            for _, packed in some:
+                at, ok = _find(h, _unpack_grams(packed))
+                out.append(_pack_values(np.where(ok, n[at], 0) if len(h) else np.zeros(len(at), np.int64)))
+            none = pa.array([0] * len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.binary()), pa.array([shard] * len(some), pa.int32()), pa.array(out, pa.binary()), none, none], names=["block", "shard", "c", "total", "distinct"])
+
+    def run(batches):
+        now, c, asks = None, Counted(), []
+        for b in batches:
+            for shard, block, words, counts in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                if shard != now:
+                    if asks:
+                        yield from told(now, c, asks)
+                    now, c, asks = shard, Counted(), []
+                c.add(words, counts)
+                asks.append((block, words))
+        if asks:
+            yield from told(now, c, asks)
+
+    return sent.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, "block binary, shard int, c binary, total long, distinct long")
+
+
 def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; ``held``: rows not to learn from."""
     scratch = Scratch(docs.sparkSession, "ppm")
     blocks = scratch.write(_blocks(docs, held, s.block))
-    asked = blocks.select("block", F.posexplode(F.arrays_zip("toks", "train")).alias("i", "x")).select("block", "i", F.col("x.toks").alias("tok"), F.col("x.train").alias("n"))
-    ends = blocks.select(F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("c"))
-    vocab = scratch.write(asked.groupBy("tok").agg(F.sum("n").alias("c")).unionByName(ends.select(F.lit(b"\n").alias("tok"), "c")))
-    facts = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    total, distinct = (int(x) for x in facts)
-    end = int(vocab.filter(F.col("tok") == F.lit(b"\n")).first()["c"])
     symbols = blocks.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] // 2 * 6  # bytes of text, about
     order, shards = s.order, max(8, -(-symbols // (4 * s.contexts)))  # about a byte in four is new to its block
+    few = max(8, -(-symbols // (64 * s.contexts)))  # and a byte in a hundred is a word that is
+    told = scratch.write(_words_told(_words_sent(blocks, few), few))
+    facts = told.filter("block is null").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    end = blocks.select(F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, distinct = int(facts[0]) + end, int(facts[1]) + (end > 0)
     sent = scratch.write(_sent(blocks, s, shards))
     low = docs.sparkSession.sparkContext.broadcast(_short(sent, order))  # bounded by the alphabet
     answers = scratch.write(_answers(sent, low, order, shards))
     scratch.drop(sent)
-    told = asked.drop("n").join(vocab.hint("merge"), "tok").groupBy("block").agg(F.collect_list(F.struct("i", "c")).alias("a"))
+    told = told.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "c")).alias("a"))
     heard = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "lp")).alias("lp"))
     j = blocks.select("block", "doc_id", "held", "n", "codes", "large", "toks").join(told.hint("merge"), "block", "left").join(heard.hint("merge"), "block")
     add = np.log10(total + 0.5 * (distinct + 1))
@@ -379,16 +441,13 @@ def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
                 code = _numbers(b.column(4)[r].as_py(), b.column(5)[r].as_py())
                 n = b.column(3)[r].values.to_numpy()
                 a = b.column(7)[r].values
-                size = len(a) if a is not None else 0
-                c = np.zeros(size)
-                if size:
-                    c[pc.struct_field(a, "i").to_numpy()] = pc.struct_field(a, "c").to_numpy()
+                c = np.zeros(len(b.column(6)[r].values))
+                if len(c):
+                    c[_word_hashes(b.column(6)[r].values, few)[2]] = _by_shard(a, "c", np.int64)
                 row = np.repeat(np.arange(len(n)), n)
                 by = lambda w: np.bincount(row, w[code], len(n))
                 base = by(np.log10(c + 0.5) - add) + np.log10(end + 0.5) - add
-                l = b.column(8)[r].values
-                told_by = pc.struct_field(l, "lp").take(pa.array(np.unique(pc.struct_field(l, "shard").to_numpy(), return_index=True)[1]))  # blocks alike share answers
-                lp = np.concatenate([_unpack_values(x, np.float32) for x in told_by.to_pylist()])
+                lp = _by_shard(b.column(8)[r].values, "lp", np.float32)
                 toks, held_ = b.column(6)[r].values, b.column(2)[r].values.to_numpy(zero_copy_only=False)
                 types, _, _ = _types(code, toks, n, held_, s, shards)
                 by_value = np.argsort(types)
