@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,7 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
         jvm.System.gc()  # Spark removes shuffle files once the driver has collected what refers to them
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ class Setting:
     order: int = 6  # at most 7: a gram is one number of 64 bits
     contexts: int = 1 << 21  # grams sent to one shard, about; none is dropped
     words: int = 100_000  # of a block, coded at a time
+    rounds: int = 4  # shares of the blocks that are scored one after the other
     block: int = 4 << 20
 
 
@@ -430,9 +432,7 @@ def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
     low = docs.sparkSession.sparkContext.broadcast(_short(sent, order))  # bounded by the alphabet
     answers = scratch.write(_answers(sent, low, order, shards))
     scratch.drop(sent)
-    told = told.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("shard", "c")).alias("a"))
-    heard = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "lp")).alias("lp"))
-    j = blocks.select("block", "doc_id", "held", "n", "codes", "large", "toks").join(told.hint("merge"), "block", "left").join(heard.hint("merge"), "block")
+    told = told.filter("block is not null")
     add = np.log10(total + 0.5 * (distinct + 1))
 
     def run(batches):
@@ -465,7 +465,17 @@ def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return j.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = []
+    for i in range(s.rounds):  # a share of the blocks at a time, so that not all of them and their answers lie in shuffles at once
+        own = F.pmod(F.xxhash64("block"), F.lit(s.rounds)) == i
+        words = told.filter(own).groupBy("block").agg(F.collect_list(F.struct("shard", "c")).alias("a"))
+        heard = answers.filter(own).groupBy("block").agg(F.collect_list(F.struct("shard", "lp")).alias("lp"))
+        j = blocks.filter(own).select("block", "doc_id", "held", "n", "codes", "large", "toks").join(words.hint("merge"), "block", "left").join(heard.hint("merge"), "block")
+        out.append(scratch.write(j.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")))
+        del j, words, heard
+        scratch.drop()
+    scratch.drop(blocks, answers)
+    return reduce(DataFrame.unionByName, out)
 
 
 def op7_ppm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
