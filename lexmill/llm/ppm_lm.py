@@ -36,7 +36,7 @@ class Setting:
     order: int = 6  # at most 7: a gram is one number of 64 bits
     contexts: int = 1 << 21  # grams sent to one shard, about; none is dropped
     words: int = 100_000  # of a block, coded at a time
-    rounds: int = 4  # shares of the blocks that are scored one after the other
+    rounds: int = 4  # shares of the shards that answer, and of the blocks that are scored, one after the other
     block: int = 4 << 20
 
 
@@ -423,14 +423,18 @@ def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
     blocks = scratch.write(_blocks(docs, held, s.block))
     symbols = blocks.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0))).first()[0] // 2 * 6  # bytes of text, about
     order, shards = s.order, max(8, -(-symbols // (4 * s.contexts)))  # about a byte in four is new to its block
-    few = max(8, -(-symbols // (64 * s.contexts)))  # and a byte in a hundred is a word that is
+    few = shards
     told = scratch.write(_words_told(_words_sent(blocks, few), few))
     facts = told.filter("block is null").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     end = blocks.select(F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + F.when(x, 0).otherwise(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = int(facts[0]) + end, int(facts[1]) + (end > 0)
     sent = scratch.write(_sent(blocks, s, shards))
     low = docs.sparkSession.sparkContext.broadcast(_short(sent, order))  # bounded by the alphabet
-    answers = scratch.write(_answers(sent, low, order, shards))
+    heard_of = []
+    for i in range(s.rounds):  # a share of the shards at a time, for the same reason as below
+        heard_of.append(scratch.write(_answers(sent.filter(F.pmod("shard", F.lit(s.rounds)) == i), low, order, -(-shards // s.rounds))))
+        scratch.drop()
+    answers = reduce(DataFrame.unionByName, heard_of)
     scratch.drop(sent)
     told = told.filter("block is not null")
     add = np.log10(total + 0.5 * (distinct + 1))
@@ -474,7 +478,7 @@ def scores(docs: DataFrame, held: Column, s: Setting = Setting()) -> DataFrame:
         out.append(scratch.write(j.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")))
         del j, words, heard
         scratch.drop()
-    scratch.drop(blocks, answers)
+    scratch.drop(blocks, *heard_of)
     return reduce(DataFrame.unionByName, out)
 
 
