@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, M1, Scratch, crc_mod, empty_text, flat, hash_spans, mix, pieces, table, word_bounds
+from .common import pack as _pack
+from .common import unpack as _unpack
 
 
 @dataclass(frozen=True)
@@ -231,18 +233,6 @@ def _types(code: np.ndarray, toks: pa.Array, n: np.ndarray, held: np.ndarray, s:
     return seen[by], count[by], shard[by]
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
-
-
-def _unpack(x: bytes, kind) -> np.ndarray:
-    n, size = int.from_bytes(x[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(x[8:], n * size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
-
-
 def _pack_grams(g: np.ndarray) -> bytes:
     return _pack(np.diff(g, prepend=np.uint64(0)))
 

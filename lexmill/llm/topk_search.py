@@ -1,17 +1,19 @@
 """Exact top-k search by BM25 over an inverted index in shards, with block-max pruning (operator 4).
 
 Documents are dealt to shards of about ``shard_chars`` characters by a hash of id and text. A shard's index is one
-row: its terms (hashes of lowered words, white space between), postings by document with the length-normalised
-part of their score, and the greatest such part of each block of ``block`` postings. Document counts and term
-frequencies are global, so scores don't depend on the shards and the shards' best rows merge exactly.
-
-A query's terms are taken by falling upper bound. Once the terms that are left can't lift a new document past the
-k-th score, only documents whose score and bounds reach it stay; for these the blocks of the other terms give
-tighter bounds, and only what still reaches the k-th score is scored in full (what WAND with block maxima skips).
-Queries meet shards in groups of ``group``, so neither side of a task grows with the corpus.
-
-Nulls and empty texts match nothing. Equal scores are ordered by doc_id. Repeated rows are found each. A query
-with no known term has no rows. An empty table gives none; other columns are ignored.
+row: its terms (hashes of lowered words, white space between), postings by document, and the documents' lengths,
+packed. Within a shard documents lie by which of its most frequent terms they hold, so that a block of ``block``
+documents is alike, and the greatest part of a score that a term has in a block says much about the block.
+Document counts and term frequencies are global, so scores don't depend on the shards and the shards' best rows
+merge exactly.
+
+A query's block maxima sum to a bound of each block. Blocks are read by falling bound, a few at a time; once the
+next bound can't reach the k-th score so far, the postings of all other blocks are skipped unread. (The usual form
+goes by document with a cursor a term; here the pivot is a block, so that all steps are arrays.) Queries meet shards in groups of ``group``, so neither side of a task grows with the corpus.
+
+Nulls and empty texts match nothing. Equal scores (to six decimals) are ordered by doc_id, null first. Repeated rows
+are found each. A query with no known term has no rows. Very long texts are indexed and asked whole. An empty table
+gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, Scratch, empty_text, flat, hash_spans, pieces, table, word_bounds
+from .common import LOWER, Scratch, empty_text, flat, hash_spans, pack, pieces, table, unpack, word_bounds
 
 
 @dataclass(frozen=True)
@@ -32,9 +35,10 @@ class Setting:
     k: int = 10
     k1: float = 1.2
     b: float = 0.75
-    shard_chars: int = 24_000_000
-    block: int = 64
-    group: int = 4096
+    shard_chars: int = 48_000_000
+    block: int = 32
+    first: int = 4  # blocks read before bounds are compared, then four times as many each
+    group: int = 16384
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,93 +55,112 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r[at], h[at], np.diff(np.append(at, len(h))), np.bincount(rows, minlength=len(off) - 1)
 
 
-def _index(docs: DataFrame, mean: float, s: Setting) -> DataFrame:
-    """A row per shard: doc_ids, terms, their first postings, postings' documents and score parts."""
+def _layout(row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
+    """The place of each document: by which of the 62 most frequent terms it holds, the most frequent first."""
+    u, inverse, n = np.unique(term, return_inverse=True, return_counts=True)
+    code = np.full(len(u), -1)
+    code[np.argsort(-n, kind="stable")[:62]] = np.arange(min(62, len(u)))
+    bit, key = code[inverse], np.zeros(rows, np.int64)
+    np.bitwise_or.at(key, row[bit >= 0], np.int64(1) << (61 - bit[bit >= 0]))
+    place = np.empty(rows, np.int64)
+    place[np.argsort(key, kind="stable")] = np.arange(rows)
+    return place
+
+
+def _index(docs: DataFrame, s: Setting) -> DataFrame:
+    """A row per shard: doc_ids as they lie, their order and lengths, terms, and the postings' documents and counts."""
 
     def build(t: pa.Table) -> pa.Table:
-        t = t.sort_by("doc_id")
-        row, term, tf, length = _terms(t["text"].combine_chunks())
+        t = t.take(pc.sort_indices(t["doc_id"], null_placement="at_start"))
+        row, term, tf, length, base = [], [], [], [], 0
+        for b in pieces(t.select(["text"]).to_batches()):
+            r, h, n, size = _terms(b.column(0))
+            row.append((r + base).astype(np.int32)), term.append(h), tf.append(n.astype(np.uint32)), length.append(size)
+            base += b.num_rows
+        row, term, tf, length = (np.concatenate(x) for x in (row, term, tf, length))
+        place = _layout(row, term, base)
+        by = np.argsort(place)
+        row = place[row].astype(np.int32)
         o = np.lexsort((row, term))
-        row, term, tf = row[o].astype(np.int32), term[o], tf[o]
-        part = tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * length[row] / mean))
+        row, term, tf = row[o], term[o], tf[o]
         new = np.ones(len(term), bool)
         new[1:] = term[1:] != term[:-1]
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(term)))
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.table(
-            {"shard": t["shard"][:1], "doc_ids": one(t["doc_id"].combine_chunks()), "terms": one(pa.array(term[first].view(np.int64))), "df": one(pa.array(n)), "docs": pa.array([row.tobytes()]), "parts": pa.array([part.astype(np.float64).tobytes()])}
+            {"shard": t["shard"][:1], "doc_ids": one(t["doc_id"].combine_chunks().take(pa.array(by))), "by_id": pa.array([pack(by.astype(np.int32))]), "len": pa.array([pack(length[by].astype(np.int64))]), "terms": one(pa.array(term[first].view(np.int64))), "df": one(pa.array(n)), "docs": pa.array([pack(np.diff(row, prepend=np.int32(0)))]), "tf": pa.array([pack(tf)])}
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.groupBy("shard").applyInArrow(build, f"shard long, doc_ids array<{kind}>, terms array<long>, df array<long>, docs binary, parts binary")
+    return docs.groupBy("shard").applyInArrow(build, f"shard long, doc_ids array<{kind}>, by_id binary, len binary, terms array<long>, df array<long>, docs binary, tf binary")
+
+
+def _spans(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The numbers from each ``a`` to before its ``z``, one after the other."""
+    n = z - a
+    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Shard:
-    """The index of a shard, ready for queries."""
+    """The index of a shard, ready for queries; ``read`` and ``skipped`` count blocks that hold a query's terms."""
 
-    def __init__(self, t: pa.Table, s: Setting):
+    def __init__(self, t: pa.Table, mean: float, s: Setting):
         self.s, x = s, {c: t[c].combine_chunks()[0] for c in t.column_names}
-        self.ids = x["doc_ids"].values
+        self.ids, self.by_id = x["doc_ids"].values, unpack(x["by_id"].as_py(), np.int32)
         self.terms = x["terms"].values.to_numpy(zero_copy_only=False).view(np.uint64)
         n = x["df"].values.to_numpy(zero_copy_only=False)
-        self.at = np.concatenate([[0], np.cumsum(n)])
-        self.docs, self.parts = np.frombuffer(x["docs"].as_py(), np.int32), np.frombuffer(x["parts"].as_py(), np.float64)
-        # block maxima: blocks of a term start at its first posting
-        self.blocks = np.concatenate([[0], np.cumsum(-(-n // s.block))])
-        within = np.arange(self.blocks[-1]) - np.repeat(self.blocks[:-1], np.diff(self.blocks))
-        self.starts = np.repeat(self.at[:-1], np.diff(self.blocks)) + within * s.block
-        self.most = np.maximum.reduceat(self.parts, self.starts) if len(self.starts) else np.zeros(0)
-        self.top = np.maximum.reduceat(self.most, self.blocks[:-1]) if len(n) else np.zeros(0)
+        at = np.concatenate([[0], np.cumsum(n)])
+        self.docs = np.cumsum(unpack(x["docs"].as_py(), np.int32), dtype=np.int32)
+        tf = unpack(x["tf"].as_py(), np.uint32)
+        norm = s.k1 * (1 - s.b + s.b * unpack(x["len"].as_py(), np.int64) / mean)
+        self.parts = tf * (s.k1 + 1) / (tf + norm[self.docs])
+        block = self.docs // s.block
+        new = np.zeros(len(block) + 1, bool)
+        new[1:-1] = block[1:] != block[:-1]
+        new[at] = True  # the first posting of a term starts a block of it
+        self.starts = np.flatnonzero(new)
+        self.block = block[self.starts[:-1]]
+        self.most = np.maximum.reduceat(self.parts, self.starts[:-1]) if len(block) else np.zeros(0)
+        self.at = np.searchsorted(self.starts, at)
+        self.read = self.skipped = 0
 
     def search(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the best k documents."""
-        k, none = self.s.k, (np.zeros(0, np.int64), np.zeros(0))
+        k, cand, score = self.s.k, np.zeros(0, np.int64), np.zeros(0)
         if not len(self.terms):
-            return none
+            return cand, score
         t = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         ok = self.terms[t] == terms
         t, idf = t[ok], idf[ok]
-        if not len(t):
-            return none
-        bound = idf * self.top[t]
-        o = np.argsort(-bound, kind="stable")
-        t, idf, bound = t[o], idf[o], bound[o]
-        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)  # what terms from i on can add
-        acc, i, theta = np.zeros(len(self.ids)), 0, 0.0
-        while i < len(t):
-            a, z = self.at[t[i]], self.at[t[i] + 1]
-            acc[self.docs[a:z]] += idf[i] * self.parts[a:z]
-            i += 1
-            if i % 16 == 0 and len(acc) > k:
-                theta = np.partition(acc, -k)[-k]
-                if rest[i] < theta:
-                    break
-        slack = 1e-6 * (1 + theta)
-        cand = np.flatnonzero((acc > 0) & (acc + rest[i] >= theta - slack))
-        if i < len(t) and len(cand):
-            # block maxima tighten the bounds of what is left
-            places, limit = [], acc[cand].copy()
-            for j in range(i, len(t)):
-                a, z = self.at[t[j]], self.at[t[j] + 1]
-                p = np.searchsorted(self.docs[a:z], cand)
-                there = np.minimum(p, z - a - 1)
-                limit += idf[j] * self.most[self.blocks[t[j]] + there // self.s.block]
-                places.append(p)
-            stay = limit >= theta - slack
-            cand = cand[stay]
-            score = acc[cand]
-            for j, p in zip(range(i, len(t)), places, strict=True):
-                a, z = self.at[t[j]], self.at[t[j] + 1]
-                p = np.minimum(p[stay], z - a - 1)
-                hit = self.docs[a + p] == cand
-                score[hit] += idf[j] * self.parts[a + p[hit]]
-        else:
-            score = acc[cand]
-        if len(cand) > k:
-            least = np.partition(score, -k)[-k]
-            keep = score >= least - 1e-5  # ties stay for the order by id
-            cand, score = cand[keep], score[keep]
+        e = _spans(self.at[t], self.at[t + 1])
+        weight, block = np.repeat(idf, self.at[t + 1] - self.at[t]), self.block[e]
+        blocks = -(-len(self.ids) // self.s.block)
+        bound = np.bincount(block, weight * self.most[e], blocks)
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        at, size, theta, read = 0, self.s.first, -np.inf, self.read
+        while at < len(order):
+            now = order[at : at + size]
+            now = now[bound[now] >= theta - 1e-6 * (2 + abs(theta))] if at else now  # sums in another order differ a little
+            if not len(now):
+                break
+            chosen = np.zeros(blocks, bool)
+            chosen[now] = True
+            mine = chosen[block]
+            a, z = self.starts[e[mine]], self.starts[e[mine] + 1]
+            p = _spans(a, z)
+            docs = self.docs[p]
+            sums = np.bincount(docs, np.repeat(weight[mine], z - a) * self.parts[p], len(self.ids))
+            new = np.flatnonzero(sums)
+            cand, score = np.concatenate([cand, new]), np.concatenate([score, sums[new]])
+            if len(cand) > k:
+                best = np.lexsort((self.by_id[cand], -np.round(score, 6)))[:k]
+                cand, score = cand[best], score[best]
+            if len(cand) == k:
+                theta = score.min()
+            self.read += len(now)
+            at, size = at + size, size * 4
+        self.skipped += len(order) - (self.read - read)
         return cand, score
 
 
@@ -148,7 +171,7 @@ def search(docs: DataFrame, queries: DataFrame, s: Setting = Setting()) -> DataF
     facts = d.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c"), F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))), F.lit(0)).alias("w")).first()
     rows, mean = facts["n"], max(facts["w"], 1) / max(facts["n"], 1)
     shards = max(1, -(-int(facts["c"]) // s.shard_chars))
-    index = scratch.write(_index(d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long")), mean, s))
+    index = scratch.write(_index(d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long")), s))
     df = index.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
 
     def split(batches):
@@ -158,34 +181,39 @@ def search(docs: DataFrame, queries: DataFrame, s: Setting = Setting()) -> DataF
 
     qkind = queries.schema["query_id"].dataType.simpleString()
     q = queries.select("query_id", empty_text().alias("text")).mapInArrow(split, f"query_id {qkind}, term long").distinct()
-    q = q.join(df, "term").withColumn("idf", F.log(1 + (F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    q = scratch.write(q.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("t")))
+    q = q.join(df, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("t"))
+
+    def packed(batches):
+        for b in batches:
+            t = [x.values for x in b.column(1)]
+            out = [[x.field("term").to_numpy(zero_copy_only=False).tobytes() for x in t], [pack(x.field("df").to_numpy(zero_copy_only=False)) for x in t]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.binary()) for x in out]], names=["query_id", "term", "df"])
+
+    q = scratch.write(q.mapInArrow(packed, f"query_id {qkind}, term binary, df binary"))
     groups = max(1, -(-q.count() // s.group))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
-    asked = q.select("query_id", "t", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("long").alias("g"), every.alias("shard"))
+    asked = q.select("query_id", "term", "df", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("long").alias("g"), every.alias("shard"))
     held = index.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     dkind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": right["query_id"][:0], "doc_id": pa.array([], ids_type(left)), "score": pa.array([], pa.float64())})
+        empty = pa.table({"query_id": right["query_id"][:0], "doc_id": pa.array([], ids_type(left)), "score": pa.array([], pa.float64()), "by": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        shard = Shard(left.drop_columns(["shard", "g"]), s)
-        lists = right["t"].combine_chunks()
+        shard = Shard(left.drop_columns(["shard", "g"]), mean, s)
         qid, rows_, scores = [], [], []
-        for i in range(right.num_rows):
-            x = lists[i].values
-            cand, score = shard.search(x.field("term").to_numpy(zero_copy_only=False).view(np.uint64), x.field("idf").to_numpy(zero_copy_only=False))
+        for i, (term, n) in enumerate(zip(right["term"].to_pylist(), right["df"].to_pylist(), strict=True)):
+            n = unpack(n, np.int64)
+            cand, score = shard.search(np.frombuffer(term, np.uint64), np.log(1 + (rows - n + 0.5) / (n + 0.5)))
             qid.append(np.full(len(cand), i)), rows_.append(cand), scores.append(score)
-        return pa.table({"query_id": right["query_id"].combine_chunks().take(pa.array(np.concatenate(qid).astype(np.int64))), "doc_id": shard.ids.take(pa.array(np.concatenate(rows_).astype(np.int64))), "score": pa.array(np.concatenate(scores))})
+        return pa.table({"query_id": right["query_id"].combine_chunks().take(pa.array(np.concatenate(qid).astype(np.int64))), "doc_id": shard.ids.take(pa.array(np.concatenate(rows_).astype(np.int64))), "score": pa.array(np.concatenate(scores)), "by": pa.array(np.round(np.concatenate(scores), 6))})
 
     def ids_type(left: pa.Table) -> pa.DataType:
         return left.schema.field("doc_ids").type.value_type
 
-    found = held.groupBy("shard", "g").cogroup(asked.groupBy("shard", "g")).applyInArrow(run, f"query_id {qkind}, doc_id {dkind}, score double")
-    # sums in another order differ in their last digits: scores are ranked by six decimals
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= s.k)
+    found = held.groupBy("shard", "g").cogroup(asked.groupBy("shard", "g")).applyInArrow(run, f"query_id {qkind}, doc_id {dkind}, score double, by double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("by"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= s.k).drop("by")
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

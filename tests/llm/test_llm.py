@@ -5,7 +5,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
-from math import log10
+from math import log, log10
 from zlib import crc32
 
 import duckdb
@@ -379,3 +379,55 @@ def test_suffix_rows_without_an_id(spark):
     texts = [new(50) + p + new(30), new(20) + p + new(45), new(130)]
     got = {x.n_bytes: x.n_removed for x in suffix_dedup.dedup(docs_of(spark, texts, [None, 1, None]), suffix_dedup.Setting(length=40, k=20)).collect()}
     assert got == {170: 90, 155: 90, 130: 0}
+
+
+def brute_topk(docs, queries, k):
+    """Scores of all documents in plain Python; ids in order."""
+    words = [(i, (t or "").lower().split()) for i, t in docs]
+    n, mean = len(words), max(sum(len(w) for _, w in words), 1) / len(words)
+    df = {}
+    for _, w in words:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    out = {}
+    for q, text in queries:
+        got = []
+        for i, w in words:
+            s = 0.0
+            for x in set((text or "").lower().split()) & set(w):
+                tf = w.count(x)
+                s += log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+            if s > 0:
+                got.append((-round(s, 6), i is not None, i or 0, i))
+        out[q] = [g[3] for g in sorted(got, key=lambda g: g[:3])[:k]]
+    return out
+
+
+def test_topk_against_brute_force_with_ties_over_shards(spark):
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(120)]
+    weights = [1 / (i + 1) for i in range(120)]
+    docs = [(i, " ".join(r.choices(vocab, weights, k=r.choice([1, 5, 20, 200])))) for i in range(300)]
+    docs += [(300 + i, "w3 w5 W7") for i in range(40)] + [(None, "w3 w5 w7"), (400, None), (401, ""), (402, "  "), (7, docs[7][1])]
+    queries = [(i, docs[i][1]) for i in range(0, 345, 15)] + [(1000, "nothing known"), (1001, None)]
+    s = topk_search.Setting(k=5, shard_chars=4000, block=4, first=1, group=7)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    rows = topk_search.search(d, q, s).collect()
+    got = {}
+    for x in sorted(rows, key=lambda x: (x.query_id, x.rank)):
+        got.setdefault(x.query_id, []).append(x.doc_id)
+    assert {x.rank for x in rows} == {1, 2, 3, 4, 5}
+    assert got == {q: ids for q, ids in brute_topk(docs, queries, 5).items() if ids}
+
+
+def test_topk_skips_blocks(spark):
+    texts = [f"common {'alpha' if i < 50 else 'beta'} t{i}" for i in range(400)]
+    s = topk_search.Setting(k=3, block=8, first=1)
+    index = topk_search._index(docs_of(spark, texts).withColumn("shard", F.lit(0).cast("long")), s).toArrow()
+    shard = topk_search.Shard(index, 3.0, s)
+    words = pa.array(["common", "alpha", "t7"]).cast(pa.binary())
+    buf, off = topk_search.flat(words)
+    rows, score = shard.search(topk_search.hash_spans(buf, off[:-1], off[1:]), np.array([0.1, 2.0, 6.0]))
+    assert [shard.ids[int(i)].as_py() for i in rows][0] == 7 and len(rows) == 3 and (np.diff(score) <= 0).all()
+    assert shard.skipped > shard.read > 0
