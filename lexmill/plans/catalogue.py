@@ -16,6 +16,7 @@ from ..operators import analysis as A
 from ..operators import analytics as AN
 from ..operators import evaluation as E
 from ..operators import html as H
+from ..operators import pipeline as PL
 from ..operators import search as S
 from ..operators import spell as SP
 from ..operators import synonyms as Y
@@ -249,17 +250,23 @@ def synonym_rules(spark, d):
 ESTOP = ",".join(f"'{w}'" for w in V.ENGLISH_STOP_WORDS)
 
 
-def _bm25(where: str, page: str) -> str:
+def _bm25(where: str, page: str, words=("tion", "ering", "thtion"), whole_query: str = QUERY, fuzzy: bool = False) -> str:
     def field(f: str) -> str:
         return f"select '{f}' field,id,list_filter({PIECES.format(c=f)},lambda x: x<>'' and x not in ({ESTOP})) terms from art"
 
     whole = " union all ".join(f"select '{f}',id,[lower(trim({f}))] from art" for f in S.WHOLE_FIELDS)
+    rows = ",".join([f"('{f}','{w}')" for f in S.TEXT_FIELDS for w in words] + [f"('{f}','{whole_query}')" for f in S.WHOLE_FIELDS])
+    asked = f", {'q0' if fuzzy else 'qt'} as (select * from (values {rows}) t(field,term))"
+    if fuzzy:
+        edits = "case when len(q0.term)<3 then 0 when len(q0.term)<=5 then 1 else 2 end"
+        near = r"damerau_levenshtein(q0.term,regexp_replace(vo.term,'[^\x00-\x7F]','?','g'))"  # it counts bytes; the query is ASCII
+        asked += f", qt as (select distinct field,term from (select vo.field,vo.term from q0 join vo using(field) where {near}<={edits} qualify row_number() over (partition by q0.term,vo.field order by {near},df desc,vo.term)<=50))"
     return f"""with {ART}, ft as ({field("title")} union all {field("content")} union all {whole})
 , fl as (select field,id,len(terms) len,terms from ft where len(terms)>0)
 , st as (select field,count(*) n,avg(len) al from fl group by field)
 , po as (select field,id,term,count(*) tf from (select field,id,unnest(terms) term from fl) group by all)
 , vo as (select field,term,count(*) df from po group by all)
-, qt as (select * from (values ('title','tion'),('title','ering'),('title','thtion'),('content','tion'),('content','ering'),('content','thtion'),('author','{QUERY}'),('category','{QUERY}')) t(field,term))
+{asked}
 , sc as (select id,field,case field when 'title' then 3 else 1 end*sum(ln(1+(n-df+.5)/(df+.5))*tf*2.2/(tf+1.2*(.25+.75*len/al))) s from po join qt using(field,term) join vo using(field,term) join st using(field) join fl using(field,id) group by id,field)
 , sd as (select id,max(s) score from sc join art using(id) {where} group by id)
 select id,round(score,6) score,rn::int "rank",(select count(*) from sd)::bigint total from (select *,row_number() over (order by score desc,id) rn from sd) where {page}"""
@@ -286,11 +293,30 @@ def bm25_page2(spark, d):
     return _search(spark, d, start=10)
 
 
-@query()
+@query(_bm25("", "rn<=10", fuzzy=True))
 def fuzzy_search(spark, d):
     return _search(spark, d, fuzzy=True)
 
 
+@query(_bm25("", "rn<=10"))
+def index_roundtrip(spark, d):
+    top = f"{_scratch(spark)}/index"
+    S.save_index(S.build_index(articles(spark, d)), top)
+    hits = S.search(S.load_index(spark, top), S.query_terms(spark, {"q": QUERY}))
+    return hits.select("id", F.round("score", 6).alias("score"), "rank", "total")
+
+
+@query(_bm25("where category='en'", "rn<=7", ("thtion", "ering"), "thtion ering"))
+def search_pipeline(spark, d):
+    top = f"{_scratch(spark)}/index"
+    S.save_index(S.build_index(articles(spark, d)), top)
+    chain = SP.Chain([(1, "levenshtein", SP.levenshtein_checker({}, ["thtion"]))])
+    e = spark.createDataFrame([("thtion", "ering"), ("thtion", "doubtful")], "word string, synonym string")
+    c = spark.createDataFrame([("ering", 0.9), ("doubtful", 0.2)], "word string, confidence double")
+    a = PL.answer(S.load_index(spark, top), "thtoin size=7 category=EN synmin=0.5", chain, e, c, fuzzy=False)
+    return a.hits.select("id", F.round("score", 6).alias("score"), "rank", "total")
+
+
 @query(f"""with {ART}, v as (select word,count(*) df from (select distinct id,unnest({PIECES.format(c="content")}) word from art) where regexp_full_match(word,'[a-z]+') group by word)
 , q as (select * from (values ('ration'),('tion'),('th')) t(term)), m as (select term,word as match,levenshtein(term,word) edits,df from q join v on levenshtein(term,word)<=case when len(term)<3 then 0 when len(term)<=5 then 1 else 2 end)
 select term,match,edits::int edits from m qualify row_number() over (partition by term order by edits,df desc,match)<=50""")

@@ -19,6 +19,12 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _move(spark: SparkSession, path: str, to: str) -> None:
+    p, fs = _path(spark, path)
+    if not fs.rename(p, _path(spark, to)[0]):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p)
@@ -73,15 +79,21 @@ def last_by_id(docs: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def upsert(spark: SparkSession, docs: DataFrame, path: str, order: str | None = None) -> int:
-    """Writes documents by id over those stored; returns how many rows were given."""
+    """Writes documents by id over those stored; returns how many rows were given.
+
+    The stored table is moved aside until the new one is in its place; a call after a crash between takes it up again.
+    """
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        _move(spark, f"{path}.old", path)
     new = last_by_id(docs, order)
     if exists(spark, path):
         new = spark.read.parquet(path).join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
     new.write.mode("overwrite").parquet(f"{path}.new")
-    p, fs = _path(spark, path)
-    q, _ = _path(spark, f"{path}.new")
-    fs.delete(p, True)
-    fs.rename(q, p)
+    if exists(spark, path):
+        remove(spark, f"{path}.old")
+        _move(spark, path, f"{path}.old")
+    _move(spark, f"{path}.new", path)
+    remove(spark, f"{path}.old")
     return docs.count()
 
 
@@ -93,6 +105,15 @@ def rebuild(spark: SparkSession, articles_path: str, index_path: str) -> int:
     return count(spark, f"{index_path}/docs")
 
 
+def clear(spark: SparkSession, path: str, copy: str | None = None) -> int:
+    """Removes a stored table, after a copy to ``copy`` if named; returns the rows it held."""
+    n = count(spark, path)
+    if copy and exists(spark, path):
+        spark.read.parquet(path).write.mode("overwrite").parquet(copy)
+    remove(spark, path)
+    return n
+
+
 def lookup(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(ids.select("id").distinct(), "id")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import analysis as A
 from lexmill.operators import evaluation as E
 from lexmill.operators import html as H
+from lexmill.operators import pipeline as PL
 from lexmill.operators import search as S
 from lexmill.operators import spell as SP
 from lexmill.operators import synonyms as Y
@@ -84,6 +85,26 @@ def test_search_fuzzy_and_pages(spark):
     assert S.search(idx, t, author="y").count() == 0 and S.osa("cta", "cat") == 1
 
 
+def test_search_pipeline(spark):
+    docs = spark.createDataFrame([(1, "big cat", "sat", "x", "k"), (2, "large cat", "ran", "y", "k"), (3, "huge dog", "ran", "y", "m")], "id int, title string, content string, author string, category string")
+    idx = S.build_index(docs)
+    chain = SP.Chain([(1, "levenshtein", SP.levenshtein_checker({}, ["large"]))])
+    e = spark.createDataFrame([("large", "big"), ("large", "huge")], "word string, synonym string")
+    c = spark.createDataFrame([("big", 0.9), ("huge", 0.1)], "word string, confidence double")
+    a = PL.answer(idx, "lagre category=K synmin=0.5", chain, e, c, fuzzy=False)
+    assert (a.corrected, a.expanded, [s["method"] for s in a.steps]) == ("large", "large big", ["levenshtein"]) and a.confidence == pytest.approx(0.8)
+    assert sorted(r.id for r in a.hits.collect()) == [1, 2]
+    ev = a.event.first()
+    assert (ev["query"], ev["corrected_from"], ev["found"]) == ("large big", "lagre", 2)
+    assert PL.answer(idx, "category=k", chain) is None
+    b = PL.answer(idx, "xq", chain, fuzzy=False)
+    assert b.corrected == "xq" and b.hits.count() == 0 and b.event.first()["found"] == 0 and b.event.first()["corrected_from"] is None
+    learned = spark.createDataFrame([("catt", "cat")], "original string, correction string")
+    stats = spark.createDataFrame([("cat", 3, 1.0, 3)], "query string, searches long, success_rate double, successes long")
+    d = PL.answer(idx, "catt", SP.Chain([]), learned=learned, stats=stats, fuzzy=False)
+    assert d.corrected == "cat" and d.steps[0][0] == "analytics" and d.hits.count() == 2
+
+
 PAGE = """<html><head><title>T | site</title><meta name="author" content="Иван Петров"><meta property="og:image" content="//img.org/a.png">
 <script type="application/ld+json">{"@graph":[{"datePublished":"2024-05-06T07:08:09"}]}</script>
 <script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"position":2,"name":"Наука"}]}</script></head>
@@ -120,6 +141,10 @@ def test_stores(spark, tmp_path):
     docs = store.documents(back)
     assert store.upsert(spark, docs, f"{top}/docs") == 2 and store.count(spark, f"{top}/docs") == 1
     assert store.upsert(spark, docs, f"{top}/docs") == 2 and store.count(spark, f"{top}/docs") == 1
+    (tmp_path / "docs").rename(tmp_path / "docs.old")  # as after a crash
+    assert store.upsert(spark, docs.limit(0), f"{top}/docs") == 0 and store.count(spark, f"{top}/docs") == 1
+    assert store.clear(spark, f"{top}/docs", f"{top}/copy") == 1 and store.count(spark, f"{top}/docs") == 0 and store.count(spark, f"{top}/copy") == 1
+    store.upsert(spark, docs, f"{top}/docs")
     store.backup(spark, {"docs": f"{top}/docs"}, f"{top}/b", "2025-01-01T00:00:00")
     r = store.restore(spark, f"{top}/b", ["docs"], f"{top}/again", docs.schema)
     assert r.first().restored == 1
