@@ -437,7 +437,9 @@ def analytics_totals(spark, d):
     return AN.totals(s, AN.learned_corrections(log, s)).withColumn("success_rate", F.round("success_rate", 9))
 
 
-@query()
+@query(f"""with {LEARNED}, q as (select distinct query||'0' query from lg), good as (select query past from qs where searches>=2 and successes/searches>0.7)
+, nr as (select query,past from q join good on abs(length(query)-length(past))<=2 and levenshtein(query,past) between 1 and 2 qualify row_number() over (partition by query order by levenshtein(query,past),past)=1)
+select q.query,coalesce(le.correction,case when coalesce(qs.successes,0)=0 then nr.past end,q.query) corrected from q left join le on le.original=q.query left join qs on qs.query=q.query left join nr on nr.query=q.query""")
 def analytics_correction(spark, d):
     log = search_log(spark, d)
     s = AN.query_stats(log)
