@@ -46,17 +46,30 @@ def build_index(docs: DataFrame, stop: list[str] | None = None) -> Index:
     each = docs.select("id", F.explode(F.array(*fields)).alias("f")).select("id", "f.field", "f.terms").filter(F.size("terms") > 0)
     length = each.select("field", "id", F.size("terms").cast("long").alias("len"))
     postings = each.select("field", "id", F.explode("terms").alias("term")).groupBy("field", "term", "id").agg(F.count("*").alias("tf"))
-    stats = length.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    vocab = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    return Index(docs, postings, length, stats, vocab)
+    return Index(docs, postings, length, _field_stats(length), _vocab(postings))
+
+
+def _field_stats(length: DataFrame) -> DataFrame:
+    return length.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+
+
+def _vocab(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
 def save_index(index: Index, path: str) -> None:
-    """Replaces the index at ``path``; postings are sorted by term, so that a term's list is read by its statistics."""
+    """Replaces the index at ``path``; postings are sorted by term, so that a term's list is read by its statistics.
+
+    Texts are analysed once: lengths, statistics and vocabulary come from the written postings. Lists of frequent
+    terms are split by id.
+    """
+    spark = index.docs.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("doc_len", "field_stats", "vocab"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    index.postings.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    postings.groupBy("field", "id").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{path}/doc_len")
+    _field_stats(spark.read.parquet(f"{path}/doc_len")).write.mode("overwrite").parquet(f"{path}/field_stats")
+    _vocab(postings).write.mode("overwrite").parquet(f"{path}/vocab")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
