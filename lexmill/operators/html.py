@@ -216,11 +216,13 @@ def _content(root: Node) -> str:
 
 
 def _after_title(h1: Node | None) -> str:
-    """Text of the later children of the title's parent, then of ten siblings more: much is gathered twice."""
+    """Text of the later children of the title's parent, bare text too, then of ten siblings more: much is gathered twice."""
     if h1 is None or h1.parent is None:
         return ""
-    sib = h1.after()
-    return "\n".join(clean(n.text()) for n in [*sib, *sib[:10]])
+    own = h1.parent.kids
+    sib = own[next(i for i, k in enumerate(own) if k is h1) + 1 :]
+    got = [clean(k if isinstance(k, str) else k.text()) for k in [*sib, *sib[:10]]]
+    return " ".join(t for t in got if t)
 
 
 def _published(root: Node, page: str, today: dt.date) -> dt.datetime | None:
@@ -233,7 +235,7 @@ def _published(root: Node, page: str, today: dt.date) -> dt.datetime | None:
              lambda: root.all(cls="published"), lambda: root.all(cls="time"), lambda: root.all(data_date="*"), lambda: root.all(data_published="*")]
     nodes: list[Node] = next((ns for ns in (t() for t in tries) if ns), [])
     for n in nodes:
-        d = next((any_date(n.attrs[k]) for k in ("datetime", "data-date", "data-published", "content") if n.attrs.get(k)), None)
+        d = any_date(n.attrs.get("datetime"))  # the attributes of the other selectors find the node, but are not read
         if d:
             return d
         t = clean(n.text())

@@ -14,6 +14,10 @@ from . import analysis as A
 from .components import components
 
 
+#: Words of an article that are paired under one key; the pairs of wider articles are dealt to several.
+WIDE = 4096
+
+
 @dataclass(frozen=True)
 class Options:
     min_similarity: float = 0.25
@@ -41,9 +45,9 @@ class Options:
 def word_pairs(tokens: DataFrame, o: Options = Options(), key: str = "id", top: bool = True) -> DataFrame:
     """Pairs word1 < word2 that share articles: co, df1, df2, jaccard, cosine, and the best of each word1.
 
-    Exact prefix filter: with words as sets of articles, a similarity of t needs a common article among the
-    first n - ceil(t n) + 1 of both sets in any one order of articles, and sizes within the ratio t. So only
-    prefixes are joined to find candidates, and the shared articles are counted for these alone.
+    The shared articles are counted as the words of an article meet, in one join: at the similarities asked here a prefix filter
+    on the sets of articles would keep most of their articles and need further joins to count. Words whose frequencies alone rule
+    the similarity out don't meet. The first words of an article of many words are dealt to several keys, so no article is one task.
     """
     t = o.min_similarity
     freq = A.filter_by_frequency(A.word_frequencies(tokens), max(o.min_frequency, o.min_co_occurrences), o.max_frequency)
@@ -51,13 +55,11 @@ def word_pairs(tokens: DataFrame, o: Options = Options(), key: str = "id", top:
     if banned:
         freq = freq.filter(~F.col("word").isin(banned))
     idx = tokens.join(freq, "word").select("word", F.col(key).alias("id"), "df")
-    size = tokens.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("width"))  # articles with few words come first: short lists
-    w = Window.partitionBy("word").orderBy("width", "id")
-    pre = idx.join(size, "id").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("df") - F.ceil(F.lit(t) * F.col("df")) + 1)
-    x, y = pre.select("id", F.col("word").alias("word1"), F.col("df").alias("df1")), pre.select("id", F.col("word").alias("word2"), F.col("df").alias("df2"))
-    cand = x.join(y, "id").filter((F.col("word1") < F.col("word2")) & (F.least("df1", "df2") >= F.lit(t) * F.greatest("df1", "df2")))
-    cand = cand.select("word1", "word2", "df1", "df2").distinct()
-    p = cand.join(idx.select(F.col("word").alias("word1"), "id"), "word1").join(idx.select(F.col("word").alias("word2"), "id"), ["word2", "id"])
+    size = idx.groupBy("id").agg(F.ceil(F.count("*") / F.lit(WIDE)).cast("int").alias("k"))
+    idx = idx.join(size, "id")
+    x = idx.select("id", F.pmod(F.hash("word"), "k").alias("s"), F.col("word").alias("word1"), F.col("df").alias("df1"))
+    y = idx.select("id", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"), F.col("word").alias("word2"), F.col("df").alias("df2"))
+    p = x.join(y, ["id", "s"]).filter((F.col("word1") < F.col("word2")) & (F.least("df1", "df2") >= F.lit(t) * F.greatest("df1", "df2")))
     p = p.groupBy("word1", "word2", "df1", "df2").agg(F.count("*").alias("co"))
     p = p.withColumn("jaccard", F.col("co") / (F.col("df1") + F.col("df2") - F.col("co"))).withColumn("cosine", F.col("co") / F.sqrt(F.col("df1") * F.col("df2")))
     p = p.filter((F.col("jaccard") >= t) & (F.col("co") >= o.min_co_occurrences))
@@ -83,7 +85,7 @@ def collocations(articles: DataFrame, pairs: DataFrame, alphabet: str = T.CYRILL
     seq = articles.select(words).select(F.split(F.lower("t"), " ").alias("w"))
     grams = seq.select(F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("x"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("y"))).alias("g"))
     # phrases are matched without word boundaries: the first word may end, the second begin, a longer one
-    g = grams.select(F.regexp_extract("g.x", f"([{alphabet}]+)$", 1).alias("x"), F.regexp_extract("g.y", f"^([{alphabet}]+)", 1).alias("y")).filter("x <> '' and y <> ''")
+    g = grams.select(F.regexp_extract("g.x", rf"([{alphabet}]+)\z", 1).alias("x"), F.regexp_extract("g.y", f"^([{alphabet}]+)", 1).alias("y")).filter("x <> '' and y <> ''")
     g = g.groupBy("x", "y").agg(F.count("*").alias("n"))
     j = pairs.select("word1", "word2").distinct()
     one = j.join(g, (F.col("word1") == F.col("x")) & (F.col("word2") == F.col("y"))).select("word1", "word2", "n")
@@ -124,14 +126,19 @@ def edges(pairs: DataFrame, spark: SparkSession, add_predefined: bool = True) ->
 
 
 def confidences(pairs: DataFrame, valid: DataFrame) -> DataFrame:
-    """(word, confidence): the mean similarity of a word's kept pairs, 0.5 if it has pairs but kept none."""
+    """(word, confidence) of the words in kept pairs that come first in a pair: the mean similarity of their kept pairs, 0.5 if they are second in all of these."""
     j = pairs.select(F.col("word1").alias("word"), "word2", "jaccard").join(valid.select(F.col("word1").alias("word"), "word2", F.lit(1).alias("k")), ["word", "word2"], "left")
-    return j.groupBy("word").agg(F.coalesce(F.least(F.lit(1.0), F.avg(F.when(F.col("k") == 1, F.col("jaccard")))), F.lit(0.5)).alias("confidence"))
+    mean = j.groupBy("word").agg(F.avg(F.when(F.col("k") == 1, F.col("jaccard"))).alias("m"))
+    kept = valid.select(F.explode(F.array("word1", "word2")).alias("word")).distinct()
+    return mean.join(kept, "word", "left_semi").select("word", F.when(F.col("m").isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.col("m"))).alias("confidence"))
 
 
-def mining_stats(pairs: DataFrame, articles: DataFrame) -> DataFrame:
-    words = pairs.select(F.explode(F.array("word1", "word2")).alias("w")).agg(F.countDistinct("w").alias("total_words"))
-    s = pairs.agg(F.count("*").alias("total_pairs"), F.min("jaccard").alias("min_similarity"), F.avg("jaccard").alias("avg_similarity"), F.max("jaccard").alias("max_similarity"))
+def mining_stats(pairs: DataFrame, articles: DataFrame, valid: DataFrame | None = None) -> DataFrame:
+    """Similarities of the kept pairs (none given: all), how many words come first in a pair, and the articles."""
+    words = pairs.agg(F.countDistinct("word1").alias("total_words"))
+    p = pairs if valid is None else valid
+    of = lambda f: F.coalesce(f("jaccard"), F.lit(0.0))
+    s = p.agg(F.count("*").alias("total_pairs"), of(F.min).alias("min_similarity"), of(F.avg).alias("avg_similarity"), of(F.max).alias("max_similarity"))
     return s.crossJoin(words).crossJoin(articles.agg(F.count("*").alias("articles_analyzed")))  # three single rows
 
 
@@ -140,8 +147,8 @@ def mine(articles: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFr
     a = articles if o.use_titles else articles.withColumn("title", F.lit(""))
     tok = A.doc_tokens(a, alphabet=o.alphabet, stop=None if o.stop is None else list(o.stop), content=o.use_content, least=o.min_word_length)
     pairs = word_pairs(tok, o).persist()
-    valid = validate(pairs, articles, o)
-    return edges(valid, articles.sparkSession), confidences(pairs, valid), mining_stats(pairs, articles)
+    valid = validate(pairs, articles, o).persist()
+    return edges(valid, articles.sparkSession), confidences(pairs, valid), mining_stats(pairs, articles, valid)
 
 
 def clean_edges(raw: DataFrame) -> DataFrame:

@@ -83,9 +83,9 @@ JUD = "jud as (select source query_id,'query '||source query_text,row_number() o
 LOG = "lg as (select event_type||' '||user_id query,case when event_type='click' then 'clik '||user_id end corrected_from,case when event_type<>'error' then floor(value)+1 else 0 end::bigint as found,ts as seen from events)"
 
 
-@query("select doc_id,len(lower(regexp_replace(text,'^\\s+|\\s+$','','g')))::bigint n from documents")
+@query("select doc_id,md5(lower(regexp_replace(text,'^\\s+|\\s+$','','g'))) normal from documents")
 def normalize_text(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.length(T.normalize(F.col("text"))).cast("long").alias("n"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("normal"))
 
 
 @query("select page_id,rtrim(replace(replace(base64(unhex(sha256(url))),'/','_'),'+','-'),'=') id from pages")
@@ -168,7 +168,7 @@ def top_synonyms(spark, d):
     return _shown(Y.top_pairs(_shown(_pairs(spark, d))))
 
 
-@query(f"with {PAIRS} select count(*)::bigint total_pairs,round(min(jaccard),6) min_similarity,round(avg(jaccard),6) avg_similarity,round(max(jaccard),6) max_similarity,(select count(distinct w) from (select word1 w from pairs union all select word2 from pairs))::bigint total_words,(select count(*) from documents)::bigint articles_analyzed from pairs")
+@query(f"with {PAIRS} select count(*)::bigint total_pairs,round(min(jaccard),6) min_similarity,round(avg(jaccard),6) avg_similarity,round(max(jaccard),6) max_similarity,(select count(distinct word1) from pairs)::bigint total_words,(select count(*) from documents)::bigint articles_analyzed from pairs")
 def mining_stats(spark, d):
     s = Y.mining_stats(_pairs(spark, d), articles(spark, d))
     return s.select("total_pairs", *[F.round(c, 6).alias(c) for c in ("min_similarity", "avg_similarity", "max_similarity")], "total_words", "articles_analyzed")
@@ -191,34 +191,47 @@ def phrase_occurrences(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.occurrences(F.col("text"), F.lit("of the")).alias("n"))
 
 
-@query()
+ALL_PAIRS = PAIRS.replace("df>=5", "df>=2")
+BEST = "qualify row_number() over (partition by word1 order by jaccard desc,word2)<=15"
+MORPH = "(n>=3 and (left(word1,least(4,n-1))=left(word2,least(4,n-1)) or (n>=4 and right(word1,4)=right(word2,4)) or 1-levenshtein(word1,word2)/greatest(len(word1),len(word2))>=0.78))"
+MINED = f"""{ALL_PAIRS}, best as (select * replace (co/(df1+df2-co) as jaccard),least(len(word1),len(word2)) n from pairs {BEST})
+, {CASES[len(ART) + 2 :]}, names as (select word from cs where capitalised>=2 and capitalised/(capitalised+lower_case)>=0.8)
+, seq as (select string_split(lower(unnest([title,content])),' ') w from art), ad as (select w,unnest(range(1,len(w))) i from seq)
+, gr as (select regexp_extract(w[i],'([a-z]+)$',1) x,regexp_extract(w[i+1],'^([a-z]+)',1) y from ad)
+, strong as (select least(x,y) word1,greatest(x,y) word2 from gr where x<>'' and y<>'' group by all having count(*)>=3)
+, valid as (select word1,word2,jaccard from best anti join strong using(word1,word2) where least(len(word1),len(word2))>=3 and greatest(len(word1),len(word2))<=30 and not {MORPH} and word1 not in (select word from names) and word2 not in (select word from names))
+, me as (select b.word1 word,avg(v.jaccard) m from best b left join valid v on b.word1=v.word1 and b.word2=v.word2 group by 1)
+, cf as (select word,round(case when m is null then 0.5 else least(1.0,m) end,9) confidence from me where word in (select word1 from valid union select word2 from valid))"""
+KINDS = ",".join(f"('{V.SPORT}','{k}'),('{k}','{V.SPORT}')" for k in V.SPORT_KINDS)
+
+
+@query(f"with {MINED}, ed as (select word1 word,word2 synonym from valid union select word2,word1 from valid union select * from (values {KINDS}) t(a,b)) select word,synonym,confidence from ed left join cf using(word)")
 def mine_synonyms(spark, d):
     e, c, _ = Y.mine(articles(spark, d), WHOLE)
-    return e.join(c, "word", "left")
+    return e.join(c, "word", "left").withColumn("confidence", F.round("confidence", 9))
 
 
-@query()
+@query(f"with {MINED} select word,confidence from cf")
 def synonym_confidences(spark, d):
-    p = _pairs(spark, d, o=WHOLE)
-    return Y.confidences(p, Y.validate(p, articles(spark, d), WHOLE))
+    return Y.mine(articles(spark, d), WHOLE)[1].withColumn("confidence", F.round("confidence", 9))
 
 
-# the same queries over all pairs, as the reference mines them; those above are held to their SQL, which keeps to words of five articles
+# the same queries over all pairs, as the reference mines them; those above are held to words of five articles and more
 
 
-@query()
+@query(f"with {ALL_PAIRS} select * from pairs")
 def cooccurrence_pairs_all(spark, d):
     return _shown(_pairs(spark, d, o=WHOLE))
 
 
-@query()
+@query(f"with {ALL_PAIRS} select * from pairs {BEST}")
 def top_synonyms_all(spark, d):
     return _shown(Y.top_pairs(_shown(_pairs(spark, d, o=WHOLE))))
 
 
-@query()
+@query(f"with {MINED} select count(*)::bigint total_pairs,round(min(jaccard),6) min_similarity,round(avg(jaccard),6) avg_similarity,round(max(jaccard),6) max_similarity,(select count(distinct word1) from pairs)::bigint total_words,(select count(*) from documents)::bigint articles_analyzed from valid")
 def mining_stats_all(spark, d):
-    s = Y.mining_stats(_pairs(spark, d, o=WHOLE), articles(spark, d))
+    s = Y.mine(articles(spark, d), WHOLE)[2]
     return s.select("total_pairs", *[F.round(c, 6).alias(c) for c in ("min_similarity", "avg_similarity", "max_similarity")], "total_words", "articles_analyzed")
 
 
@@ -227,7 +240,7 @@ def synonym_groups_all(spark, d):
     return Y.groups(_pairs(spark, d, o=WHOLE))
 
 
-@query()
+@query(f"with {ALL_PAIRS}, p as (select word1,word2,least(len(word1),len(word2)) n from pairs) select word1,word2 from p where {MORPH}")
 def morph_variant_pairs_all(spark, d):
     return _pairs(spark, d, o=WHOLE).filter(Y.morphological(F.col("word1"), F.col("word2"))).select("word1", "word2")
 
@@ -468,11 +481,15 @@ def reranker_samples(spark, d):
     return TR.samples(_labelled(spark, d), articles(spark, d), min_score=1).drop("confidence", "timestamp")
 
 
-@query(f"with {JUD}, {ART} select query_text as \"input\",relevance::int as label,(case relevance when 0 then 0.1 when 1 then 0.6 when 2 then 0.9 else 0.5 end)::double confidence,count(*)::bigint n from jud join art on document_id=art.id group by all")
+PROMPT = "'" + V.JUDGE_PROMPT.replace("'", "''") + "'||chr(10)||'Запрос: '||query_text||chr(10)||'Документ:'||chr(10)||'Заголовок: '||title||chr(10)||'Категория: '||category||chr(10)||'Автор: '||author||chr(10)||'Ссылка: '||url||chr(10)||'Фрагмент: '||case when s='' then '[нет текста]' else left(s,600) end||chr(10)"
+REASONS = " ".join(f"when {k} then '{v}'" for k, v in V.LABEL_REASON.items())
+
+
+@query(f"with {JUD}, {ART}, fr as (select *,regexp_replace(translate(content,chr(13)||chr(10),'  '),'^\\s+|\\s+$','','g') s from art) select md5({PROMPT}) instruction,query_text as \"input\",relevance::int as label,(case relevance when 0 then 0.1 when 1 then 0.6 when 2 then 0.9 else 0.5 end)::double confidence,case relevance {REASONS} end reason from jud join fr on document_id=fr.id")
 def finetuning_rows(spark, d):
     r = TR.fine_tuning(_labelled(spark, d), articles(spark, d))
     p = F.from_json("output", "label int, confidence double, reason string")
-    return r.select("input", p["label"].alias("label"), p["confidence"].alias("confidence")).groupBy("input", "label", "confidence").agg(F.count("*").alias("n"))
+    return r.select(F.md5("instruction").alias("instruction"), "input", p["label"].alias("label"), p["confidence"].alias("confidence"), p["reason"].alias("reason"))
 
 
 @query(f"with {JUD} select least(relevance,2)::int as label,count(*)::bigint n,count(*)/(select count(*) from jud) share from jud where contains(query_text,'src1') group by 1")
@@ -490,7 +507,15 @@ def missing_documents(spark, d):
     return TR.missing(_labelled(spark, d), articles(spark, d).filter("category = 'en'"))
 
 
-@query()
+CAND = f"""{ART}, rw as (select id,1 f,unnest(regexp_extract_all(lower(title),'[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) word,generate_subscripts(regexp_extract_all(lower(title),'[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'),1) i from art
+ union all select id,2,unnest(regexp_extract_all(lower(content),'[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')),generate_subscripts(regexp_extract_all(lower(content),'[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'),1) from art)
+, tk as (select id,list(word order by o)[1:6] tok from (select id,word,min((f,i)) o from rw where regexp_full_match(word,'[a-z]{{3,50}}') and word not in ({STOPS}) group by id,word) group by id)
+, nt as (select id,lower(trim(title)) t,list_filter(string_split(lower(trim(title)),' '),lambda x: len(x)>2) w,lower(trim(category)) c,lower(trim(author)) a from art)
+, cd as (select id,list_filter([nullif(t,''),case when len(w)>=2 then w[1]||' '||w[2] end,case when len(w)>=3 then w[1]||' '||w[2]||' '||w[3] end]
+ ||flatten(list_transform(coalesce(tok,[]),lambda x: [x,c||' '||x]))||[a,a||' '||tok[1]],lambda x: x is not null) q from nt left join tk using(id))"""
+
+
+@query(f"with {CAND} select id,(generate_subscripts(q,1)-1)::int pos,unnest(q) query from cd")
 def query_candidates(spark, d):
     return A.query_candidates(articles(spark, d), alphabet=ABC, stop=STOP)
 
@@ -513,7 +538,11 @@ def page_articles(spark, d):
     return H.articles(_t(spark, d, "pages"), SITE)
 
 
-@query()
+LINKS = """an as (select page_id,unnest(regexp_extract_all(html,'<a href="([^"]*)">[^<]*</a>',1)) href,unnest(regexp_extract_all(html,'<a href="[^"]*">([^<]*)</a>',1)) title,unnest(range(len(regexp_extract_all(html,'<a href="[^"]*">[^<]*</a>')))) i from pages)
+, ok as (select page_id,'https://example.org'||href url,title,i from an where starts_with(href,'/') and not contains(href,'#') and href<>'/' and not regexp_matches(href,'/\\d{2}-\\d{2}-\\d{4}$') and not regexp_matches(lower(href),'/login|/register|/about|/contact|/search|/tag|/author|/hall-of-fame|/member/|/help') and len(title)>10 and len(title)<500)"""
+
+
+@query(f"with {LINKS} select page_id,(row_number() over (partition by page_id order by max(i))-1)::int pos,url,min_by(title,i) title from ok group by page_id,url")
 def page_links(spark, d):
     return H.page_links(_t(spark, d, "pages"), SITE)
 
@@ -535,14 +564,25 @@ def backup_roundtrip(spark, d):
     return b.join(r, "name").drop("name")
 
 
-@query(f"with {JUD} select query_id as \"QueryId\",position::varchar as \"Position\",document_id::varchar as \"DocumentId\",relevance::varchar as \"RelevanceScore\",'' as \"AiConfidence\" from jud")
+CSV = {
+    "QueryId": "query_id", "QueryText": "query_text", "Timestamp": "'2025-01-01 00:00:00'", "Position": "position::varchar", "DocumentId": "document_id::varchar", "Title": "title", "Url": "url",
+    "Category": "category", "Author": "author", "RelevanceScore": "relevance::varchar", "Comment": "' say \"'||left(title,9)||'\", '||chr(10)||position||' '", "AiRelevanceScore": "case when position%2=0 then '1' else '' end",
+    "AiConfidence": "case when position%2=0 then '0.250' else '' end", "AiReason": "''",
+}
+
+
+@query(f"with {JUD}, {ART} select " + ",".join(f'{v} as "{k}"' for k, v in CSV.items()) + " from jud join art on document_id=art.id")
 def csv_export(spark, d):
-    blank = {c: F.lit(None).cast("string") for c in ("title", "url", "category", "author", "comment", "ai_reason")}
-    j = judged(spark, d).withColumns(blank).withColumns({"document_id": F.col("document_id").cast("string"), "at": F.lit("2025-01-01").cast("timestamp"), "ai_relevance": F.lit(None).cast("int"), "ai_confidence": F.lit(None).cast("float")})
+    j = judged(spark, d).join(articles(spark, d).drop("content").withColumnRenamed("id", "document_id"), "document_id")
+    even = F.col("position") % 2 == 0
+    j = j.withColumns({
+        "document_id": F.col("document_id").cast("string"), "at": F.lit("2025-01-01").cast("timestamp"), "comment": F.concat(F.lit(' say "'), F.left("title", F.lit(9)), F.lit('", \n'), F.col("position").cast("string"), F.lit(" ")),
+        "ai_relevance": F.when(even, 1), "ai_confidence": F.when(even, 0.25).cast("float"), "ai_reason": F.lit(None).cast("string"),
+    })
     path = f"{_scratch(spark)}/csv"
     store.write_csv(j, path)
-    back = spark.read.option("header", True).option("escape", '"').csv(path)
-    return back.select("QueryId", "Position", "DocumentId", "RelevanceScore", F.coalesce("AiConfidence", F.lit("")).alias("AiConfidence"))
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in CSV])
 
 
 def _scratch(spark: SparkSession) -> str:

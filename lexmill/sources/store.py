@@ -146,7 +146,7 @@ def csv_rows(j: DataFrame) -> DataFrame:
 
 
 def write_csv(j: DataFrame, path: str) -> None:
-    csv_rows(j).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    csv_rows(j).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=S.SAMPLE) -> DataFrame:

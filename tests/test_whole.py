@@ -42,15 +42,17 @@ def test_all_pairs(spark, small):
     got = {(r.word1, r.word2): r.co for r in C.Q["cooccurrence_pairs_all"](spark, d).collect()}
     assert got == want
     assert {(r.word1, r.word2) for r in C.Q["top_synonyms_all"](spark, d).collect()} == set(want)  # no word has over 15
+    kept = {p for p in want if not (p[0][:4] == p[1][:4] or p[0][-4:] == p[1][-4:])} - {("common", w) for w in sets}
     s = C.Q["mining_stats_all"](spark, d).first()
-    assert (s.total_pairs, s.total_words) == (len(want), len({w for p in want for w in p}))
+    assert ("quartz", "velvet") in kept and 0 < s.total_pairs <= len(kept) and s.total_words == len({x for x, _ in want})
     labels = {r.word: r.label for r in C.Q["synonym_groups_all"](spark, d).collect()}
     assert set(labels) == {w for p in want for w in p} and all(labels[x] == labels[y] for x, y in want)
     assert labels["quartz"] == labels["hammer"]  # by pairs of 0.5
     assert {(r.word1, r.word2) for r in C.Q["morph_variant_pairs_all"](spark, d).collect()} <= set(want)
     mined = {(r.word, r.synonym) for r in C.Q["mine_synonyms"](spark, d).collect()}
     assert {("quartz", "velvet"), ("velvet", "hammer")} <= mined
-    assert {"quartz", "hammer"} <= {r.word for r in C.Q["synonym_confidences"](spark, d).collect()}
+    found = {r.word: r.confidence for r in C.Q["synonym_confidences"](spark, d).collect()}
+    assert found["quartz"] == found["hammer"] == 0.5 and "velvet" not in found  # each in one pair of similarity 0.5; velvet is second in both
 
 
 def test_whole_index(spark, small):
@@ -76,3 +78,52 @@ def test_reranker_has_rounds_and_leaves_of_the_reference(spark, small, monkeypat
     with pytest.raises(Seen):
         C.Q["rerank_gbt"](spark, small[0])
     assert (seen["maxIter"], 2 ** seen["maxDepth"], seen["minInstancesPerNode"], seen["stepSize"]) == (200, 64, 20, 0.1)
+
+
+def test_confidence_of_words_without_kept_pairs(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.3), ("a", "c", 0.5), ("b", "c", 0.9), ("c", "d", 0.4), ("e", "f", 0.7)], "word1 string, word2 string, jaccard double")
+    valid = pairs.filter("word1 = 'a'")
+    got = {r.word: r.confidence for r in C.Y.confidences(pairs, valid).collect()}
+    assert got == {"a": 0.4, "b": 0.5, "c": 0.5}  # d and f never come first, e is in no kept pair
+    s = C.Y.mining_stats(pairs, pairs, pairs.limit(0)).first()
+    assert (s.total_pairs, s.min_similarity, s.total_words) == (0, 0.0, 4)
+
+
+def test_wide_articles_are_dealt_to_several_keys(spark, small, monkeypatch):
+    d, sets = small
+    monkeypatch.setattr(C.Y, "WIDE", 2)
+    assert {(r.word1, r.word2): r.co for r in C.Q["cooccurrence_pairs_all"](spark, d).collect()} == brute_pairs(sets)
+
+
+def test_reranker_holds_out_whole_queries(spark):
+    rows = [(f"q{q}", f"word{q}", q * 100 + i, f"title {i % 3}", "big text" if i % 2 else "small", "k", "a", 0.0, i, i % 2) for q in range(10) for i in range(20)]
+    s = spark.createDataFrame(rows, "queryId string, queryText string, documentId int, title string, contentSnippet string, category string, author string, elasticScore double, position int, label int")
+    model, held = C.TR.train_reranker(s, test=0.4, rounds=2, depth=2, buckets=16)
+    out = held.select("queryId", "documentId", "label", "position", "rerank_score").collect()
+    n = {q: sum(r.queryId == q for r in out) for q in {r.queryId for r in out}}
+    assert n and set(n.values()) == {20} and len(n) < 10
+    assert min(r.rerank_score for r in out if r.label) > max(r.rerank_score for r in out if not r.label)
+    assert C.TR.ranking_quality(held).first().ndcg_3 == 1.0
+    bad = held.withColumn("rerank_score", -held["rerank_score"])
+    assert C.TR.ranking_quality(bad).first().ndcg_3 == 0.0
+
+
+def test_readers(spark, tmp_path):
+    top = f"file://{tmp_path}"
+    (tmp_path / "e.json").write_text('[{"queryId":"1","queryText":"q","totalFound":3,"results":[{"position":1,"documentId":"d","relevanceScore":2},{"position":2,"documentId":"e","relevanceScore":0}]},{"queryId":"2","results":[]}]')
+    j = C.store.judgements(C.store.read_evaluations(spark, f"{top}/e.json")).collect()
+    assert [(r.query_id, r.position, r.document_id, r.relevance) for r in j] == [("1", 1, "d", 2), ("1", 2, "e", 0)]
+    assert C.store.read_evaluations(spark, f"{top}/none").count() == 0
+    (tmp_path / "s.json").write_text('{"synonyms":{" Big":["large","BIG"],"fast":[]},"confidenceScores":{"Big":1.7}}')
+    e, c = C.store.read_synonyms(spark, f"{top}/s.json")
+    assert [tuple(r) for r in e.collect()] == [("big", "large")] and [tuple(r) for r in c.collect()] == [("big", 1.0)]
+    (tmp_path / "a.json").write_text('{"cat":{"Query":"cat","SearchCount":4,"SuccessfulSearches":3,"TotalResults":8},"dog":{"Query":"dog","SearchCount":0,"SuccessfulSearches":0,"TotalResults":0}}')
+    a = {r["query"]: (r.SuccessRate, r.AvgResults) for r in C.store.read_analytics(spark, f"{top}/a.json").collect()}
+    assert a == {"cat": (0.75, 2.0), "dog": (None, None)} and C.store.read_analytics(spark, f"{top}/none").count() == 0
+
+
+def test_text_beside_the_title(spark):
+    site = C.H.Site("https://a.org", "a.org")
+    page = "<body><div><h1>Большая новость дня</h1> 03.04.2024, 10:20 <script>x</script></div></body>"
+    assert C.H.article("u", page, site)["publish_date"].isoformat() == "2024-04-03T10:20:00"
+    assert C.H.article("u", '<body><p data-date="2024-05-06">no day</p></body>', site)["publish_date"] is None
