@@ -5,20 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none and has no other executors."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp()}"
+    return top.rstrip("/")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the least node of each component; rows of ``edges`` need no order."""
     spark = edges.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+    top = shared_dir(spark)
     n, run = 0, uuid.uuid4().hex
 
     def kept(df: DataFrame) -> DataFrame:
         nonlocal n
         n += 1
-        path = f"{top.rstrip('/')}/components-{run}/{n}"
+        path = f"{top}/components-{run}/{n}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

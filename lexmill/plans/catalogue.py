@@ -6,6 +6,8 @@ language, author the source. The tables hold no Cyrillic, so the alphabet is a p
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,7 @@ from ..operators import search as S
 from ..operators import spell as SP
 from ..operators import synonyms as Y
 from ..operators import training as TR
+from ..operators.components import shared_dir
 from ..sources import store
 
 ABC = "a-z"
@@ -586,8 +589,4 @@ def csv_export(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
-    return f"{top.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
