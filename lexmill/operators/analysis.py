@@ -15,6 +15,11 @@ def article_tokens(alphabet: str = T.CYRILLIC, stop: list[str] | None = None, co
     return F.array_union(t, T.tokenize(F.col("content"), alphabet, stop, least, most)) if content else t
 
 
+def doc_words(articles: DataFrame, key: str = "id", **kw) -> DataFrame:
+    """(key, words): the distinct words of an article."""
+    return articles.select(key, article_tokens(**kw).alias("words"))
+
+
 def doc_tokens(articles: DataFrame, key: str = "id", **kw) -> DataFrame:
     """(key, word): each word of an article once."""
     return articles.select(key, F.explode(article_tokens(**kw)).alias("word"))

@@ -1,8 +1,14 @@
 """Steps that make no more rows than input and result ask for, and whose results stay those of brute force."""
 
 import random
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
 
 from lexmill.operators import spell as SP
+from lexmill.operators import synonyms as Y
 from tests.test_whole import edits
 
 
@@ -24,6 +30,16 @@ def most_rows(df):
     return out, max(seen)
 
 
+def shuffled(spark, make):
+    """The result, and the rows that all jobs of ``make`` wrote to shuffles."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    stages = lambda: {x.stageId(): x.shuffleWriteRecords() for x in map(store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList()).apply, range(store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList()).size()))}
+    before = set(stages())
+    out = make().collect()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
 def test_nearest_past_queries(spark):
     r = random.Random(5)
     text = lambda n, of: "".join(r.choice(of) for _ in range(n))
@@ -51,3 +67,52 @@ def test_past_queries_of_one_length_do_not_all_meet(spark, monkeypatch):
     learned = spark.createDataFrame([], "original string, correction string")
     out, n = most_rows(SP.analytics_correct(q, learned, stats).select("query", "corrected"))
     assert len(out) == 3000 and n < 600_000  # 150 keys of a text; all pairs of a length would be over two million
+
+
+def word_rows(spark, articles):
+    return spark.createDataFrame([(i, sorted(ws)) for i, ws in enumerate(articles)], "id int, words array<string>")
+
+
+def brute(articles, t, least):
+    df, co = Counter(w for ws in articles for w in ws), Counter(p for ws in articles for p in combinations(sorted(ws), 2))
+    return {(x, y): (n, df[x], df[y]) for (x, y), n in co.items() if n >= least and min(df[x], df[y]) >= least and n / (df[x] + df[y] - n) >= t}
+
+
+def test_words_that_meet_are_not_rows(spark):
+    r = random.Random(7)
+    vocab = [f"w{i:03}" for i in range(400)]
+    articles = [set(r.sample(vocab, 100)) for _ in range(250)]
+    out, n = shuffled(spark, lambda: Y.word_pairs(word_rows(spark, articles), top=False))
+    assert {(x.word1, x.word2): (x.co, x.df1, x.df2) for x in out} == brute(articles, 0.25, 2)
+    assert n < 25_000  # the words of the articles; nearly all of 79800 pairs meet
+
+
+@pytest.mark.parametrize("counters, without, read", [(48 << 20, 1 << 18, 8 << 20), (300, 5, 50), (300, 1 << 18, 50), (1, 1, 1)])
+@pytest.mark.parametrize("t", [0.25, 0.6, 0.0])
+def test_blocks_count_what_brute_force_counts(counters, without, read, t, monkeypatch):
+    from lexmill.operators import cooccurrence as K
+
+    r = random.Random(8)
+    for name, value in (("COUNTERS", counters), ("WITHOUT", without), ("READ", read), ("BLOCKS", 7)):
+        monkeypatch.setattr(K, name, value)
+    weights = [1 / (i + 1) for i in range(80)]
+    articles = [{f"w{i}" for i in r.choices(range(80), weights, k=r.choice([0, 1, 5, 40]))} for _ in range(120)]
+    df = Counter(w for ws in articles for w in ws)
+    names = sorted((w for w in df if df[w] >= 2), key=lambda w: (df[w], w))
+    seen = Counter(df[w] for w in names)
+    dfs = np.array(sorted(seen))
+    words = np.array([seen[x] for x in dfs.tolist()])
+    plan = K.blocks(dfs, words, t)
+    assert [b.start for b in plan] == [0, *(b.end for b in plan[:-1])] and plan[-1].end == len(names)
+    at = {w: i for i, w in enumerate(names)}
+    batches = []
+    for part in (articles[:50], articles[50:]):
+        posts = {w: [i for i, ws in enumerate(part) if w in ws] for w in names}
+        ws = [w for w in names if posts[w]]
+        cols = [[len(batches)] * len(ws), [at[w] for w in ws], [len(posts[w]) for w in ws], [np.array(posts[w], "<u2").tobytes() for w in ws]]
+        batches.append(K.pa.RecordBatch.from_arrays([K.pa.array(c) for c in cols], ["batch", "r", "n", "docs"]))
+    dealt = sorted((x for b in K._dealt(plan, len(names))(batches) for x in b.to_pylist()), key=lambda x: x["block"])
+    rows = [K.pa.RecordBatch.from_pylist(dealt[i : i + 3]) for i in range(0, len(dealt), 3)]
+    got = [x for b in K._counted(plan, dfs, words, t, 2, 64)(rows) for x in b.to_pylist()]
+    assert len(got) == len({(x["r1"], x["r2"]) for x in got})
+    assert {tuple(sorted((names[x["r1"]], names[x["r2"]]))): x["co"] for x in got} == {p: v[0] for p, v in brute(articles, t, 2).items()}
