@@ -116,3 +116,18 @@ def test_blocks_count_what_brute_force_counts(counters, without, read, t, monkey
     got = [x for b in K._counted(plan, dfs, words, t, 2, 64)(rows) for x in b.to_pylist()]
     assert len(got) == len({(x["r1"], x["r2"]) for x in got})
     assert {tuple(sorted((names[x["r1"]], names[x["r2"]]))): x["co"] for x in got} == {p: v[0] for p, v in brute(articles, t, 2).items()}
+
+
+def test_neighbours_that_are_no_pair_are_not_dealt_out(spark, monkeypatch):
+    r = random.Random(9)
+    names = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join(r.choice(names) for _ in range(400)) for _ in range(40)] + ["quartz velvet", "(velvet quartz)", "velvet, quartz"]
+    articles = spark.createDataFrame([(i, "", t) for i, t in enumerate(texts)], "id int, title string, content string")
+    pairs = spark.createDataFrame([("quartz", "velvet"), ("velvet", "zinc")] + list({tuple(sorted(t.split()[:2])) for t in texts[:40]}), "word1 string, word2 string")
+    want = Counter(tuple(sorted(p)) for t in texts[:40] for p in zip(t.split(), t.split()[1:]))
+    for bits in (29, 12):
+        monkeypatch.setattr(Y, "MOST_BITS", bits)
+        out, n = shuffled(spark, lambda: Y.collocations(articles, pairs, "a-z"))
+        got = {(x.word1, x.word2): x.n for x in out}
+        assert got == {("quartz", "velvet"): 2} | {(x.word1, x.word2): want[x.word1, x.word2] for x in pairs.collect() if (x.word1, x.word2) in want}
+        assert n < 2000 or bits < 29  # 15960 neighbours, nearly all of them once
