@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from lexmill.operators import search as S
 from lexmill.operators import spell as SP
 from lexmill.operators import synonyms as Y
 from tests.test_whole import edits
@@ -131,3 +132,23 @@ def test_neighbours_that_are_no_pair_are_not_dealt_out(spark, monkeypatch):
         got = {(x.word1, x.word2): x.n for x in out}
         assert got == {("quartz", "velvet"): 2} | {(x.word1, x.word2): want[x.word1, x.word2] for x in pairs.collect() if (x.word1, x.word2) in want}
         assert n < 2000 or bits < 29  # 15960 neighbours, nearly all of them once
+
+
+def test_search_deals_out_its_terms_only(spark):
+    r = random.Random(10)
+    names = ["".join(r.choice("klmnopqrst") for _ in range(9)) for _ in range(4000)]
+    rows = [(i, "", " ".join(r.sample(names, 80)) + " quartz quartz" * (i % 3 == 0), "k", "a") for i in range(150)]
+    docs = spark.createDataFrame(rows, "id int, title string, content string, category string, author string")
+    out, n = shuffled(spark, lambda: S.search(S.build_index(docs), S.query_terms(spark, {"q": "quartz"}), size=5).select("id", "rank", "total"))
+    assert [(x.id, x.total) for x in sorted(out, key=lambda x: x["rank"])] == [(i, 50) for i in (0, 3, 6, 9, 12)]
+    assert n < 3000  # the articles hold 12000 words
+
+
+def test_terms_far_off_do_not_reach_the_exact_distance(spark, monkeypatch):
+    near, far = ["quartz", "quatrz", "uqatrz", "quart", "quartzes", "uqartz"], ["kwarts", "smooth", "uqatzr", "planet", "quaint"]
+    vocab = spark.createDataFrame([("content", w, 1) for w in near + far], "field string, term string, df long")
+    asked = spark.createDataFrame([("quartz",)], "term string")
+    got = {x.match: x.edits for x in S.fuzzy_terms(asked, vocab).collect()}
+    assert got == {w: S.osa("quartz", w) for w in near + far if S.osa("quartz", w) <= 2} and set(near) <= set(got)
+    monkeypatch.setattr(S, "osa_udf", lambda a, b: S.F.lit(1))
+    assert {x.match for x in S.fuzzy_terms(asked, vocab).collect()} == set(got)
